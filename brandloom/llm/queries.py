@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brandloom.llm import language_id
+from brandloom.llm import language_id, quality
 from brandloom.llm.common import read
 
 
@@ -17,8 +17,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", language_id.held_out()).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.rate(docs, *quality.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_language_id": op5_language_id}
+    return {
+        "op5_language_id": op5_language_id,
+        "op6_quality": op6_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
