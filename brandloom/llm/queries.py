@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brandloom.llm import language_id, quality
+from brandloom.llm import decontaminate, language_id, packing, quality
 from brandloom.llm.common import read
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~language_id.held_out()))
@@ -22,12 +28,51 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, *quality.fit(docs))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op6_quality": op6_quality,
+        "op8_decontaminate": op8_decontaminate,
     }
 
 
+OP8_SQL = r"""
+WITH w AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS l, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM w WHERE len(ws) > 0)
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), dw AS (
+  SELECT doc_id, l, i, array_to_string(ws[i : i + l - 1], ' ') AS s
+  FROM (SELECT doc_id, ws, l, unnest(range(1, greatest(len(ws) - l + 2, 1))) AS i FROM d, (SELECT DISTINCT l FROM win))
+), hit AS (
+  SELECT doc_id, dw.l, i, item_id FROM dw JOIN win ON dw.s = win.s AND dw.l = win.l
+), n AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + l)) AS p FROM hit) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(t, ',' ORDER BY t)) AS h FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS t FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": OP8_SQL}
