@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandloom.llm import decontaminate, language_id, near_dedup, packing, quality
+from brandloom.llm import chat, decontaminate, language_id, licenses, near_dedup, packing, quality
 from brandloom.llm.common import read
 
 
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(read(spark, sf_dir, "conversations"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,13 +49,19 @@ def op9_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(read(spark, sf_dir, "documents"), percent=80, size=2)
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_perspectives": op2_perspectives,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op6_quality": op6_quality,
         "op8_decontaminate": op8_decontaminate,
         "op9_setsketch_dedup": op9_setsketch_dedup,
+        "op10_licenses": op10_licenses,
     }
 
 
@@ -102,4 +112,9 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM rea
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8_SQL, "op9_setsketch_dedup": OP9_SQL}
+    return {
+        "op2_perspectives": chat.DUCKDB_SQL,
+        "op8_decontaminate": OP8_SQL,
+        "op9_setsketch_dedup": OP9_SQL,
+        "op10_licenses": licenses.duckdb_sql(),
+    }
