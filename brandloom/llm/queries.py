@@ -8,14 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandloom.llm import chat, decontaminate, language_id, licenses, near_dedup, packing, quality
+from brandloom.llm import chat, decontaminate, html_extract, language_id, licenses, matroska, near_dedup, packing, quality, warc
 from brandloom.llm.common import read
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(read(spark, sf_dir, "conversations"))
 
 
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.describe(matroska.encode(read(spark, sf_dir, "documents")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -32,6 +40,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, *quality.fit(docs))
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"))
@@ -55,10 +67,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_perspectives": op2_perspectives,
+        "op3_matroska": op3_matroska,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op6_quality": op6_quality,
+        "op7_warc_index": op7_warc_index,
         "op8_decontaminate": op8_decontaminate,
         "op9_setsketch_dedup": op9_setsketch_dedup,
         "op10_licenses": op10_licenses,
