@@ -6,6 +6,7 @@ Each is one SQL text that Spark and DuckDB both read.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PRODUCTS_SQL = """
 SELECT p_partkey AS row_id,
@@ -32,18 +33,16 @@ WHERE length(word) >= 2
 
 #: An invented classification of the part names' words, so that no network is needed.
 LOOKUP_ROWS = [
-    ("almond", "101", "exact", "N02BE|A01AA|N02BE", "one|two|three"),
-    ("antique", "102", "exact", "C03CA", "four"),
-    ("aquamarine", "103", "approx:9.5", "R06AB|J01CA", "five|six"),
-    ("azure", "104", "approx:0.0", "", ""),
-    ("beige", "105", "exact", "Q99ZZ", "seven"),
-    ("bisque", None, "none", "", ""),
-    ("blue", "106", "exact", "V03AB|V03AC", "eight|nine"),
-    ("economy", "107", "exact", "A02BC|A02BD", "ten|eleven"),
-    ("large", "108", "exact", "M01AE", "twelve"),
-    ("promo", "109", "approx:12.3", "S01AA", "thirteen"),
-    ("small", None, "none", "", ""),
-    ("standard", "110", "exact", "D07AA|C07AB", "fourteen|fifteen"),
+    ("blue", "101", "exact", "N02BE|A01AA|N02BE", "one|two|three"),
+    ("cold", "102", "approx:9.5", "R06AB|J01CA", "four|five"),
+    ("economy", "103", "exact", "A02BC|A02BD", "six|seven"),
+    ("hot", "104", "approx:0.0", "", ""),
+    ("large", "105", "exact", "Q99ZZ", "eight"),
+    ("medium", None, "none", "", ""),
+    ("new", "106", "exact", "V03AB|V03AC", "nine|ten"),
+    ("promo", "107", "exact", "M01AE", "eleven"),
+    ("red", None, "none", "", ""),
+    ("standard", "108", "approx:12.3", "D07AA|C07AB", "twelve|thirteen"),
 ]
 
 
@@ -62,11 +61,13 @@ def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ROOTS_SPARK_SQL)
 
 
-def lookup(spark: SparkSession) -> DataFrame:
-    """A first word of a molecule -> its row."""
+def lookup(inventory: DataFrame) -> DataFrame:
+    """The invented classification of an inventory's molecules, by their first words."""
     split = lambda s: s.split("|") if s else []
     rows = [(w, r, m, split(c), split(n)) for w, r, m, c, n in LOOKUP_ROWS]
-    return spark.createDataFrame(rows, "word string, rxcui string, match_method string, atc_codes array<string>, atc_names array<string>")
+    known = inventory.sparkSession.createDataFrame(rows, "word string, rxcui string, match_method string, atc_codes array<string>, atc_names array<string>")
+    words = inventory.select("molecule", F.split_part("molecule", F.lit(" "), F.lit(1)).alias("word"))
+    return words.join(F.broadcast(known), "word").drop("word")  # the ten rows above
 
 
 def _sql(x: str | None) -> str:
