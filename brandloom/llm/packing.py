@@ -31,16 +31,21 @@ BUFFER = 1 << 17
 FAN_IN = 8
 #: A sequence with this few free places is final.
 SLACK = 1
-#: Words whose ids a Python worker remembers.
-MEMO = 300_000
+#: Words whose ids a Python worker remembers: about 250 bytes each.
+MEMO = 800_000
+#: Plain words that are tokenised as one text.
+_TOGETHER = 256
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Ids:
     """Token ids of whole texts as little-endian uint32 bytes.
 
-    The tokenizer drops white space and never joins what white space parts, so
-    the ids of a text are those of its words in turn; each word is tokenised
-    once and then remembered.
+    The tokenizer lower-cases, drops white space and never joins what white
+    space parts, so the ids of a text are those of its words in turn. Each word
+    is tokenised once and then remembered; MEMO words bound the memory. A new
+    word with capitals or with punctuation behind its letters is put together
+    from its plain form, and plain words are tokenised many at a time.
     """
 
     def __init__(self, path: str):
@@ -48,20 +53,56 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        memo = self.memo
-        new = list(set(itertools.chain.from_iterable(split)).difference(memo))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set(itertools.chain.from_iterable(split)))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        memo.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
-        get = memo.__getitem__
+        new = set(itertools.chain.from_iterable(split)).difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = set(itertools.chain.from_iterable(split))
+        self._learn(new)
+        get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _learn(self, new: set[bytes]) -> None:
+        memo, made, need = self.memo, [], set()
+        add = need.add
+        for w in new:
+            # special tokens are told from text by case and by "<|"
+            if w.isascii() and b"<|" not in w:
+                plain = w.lower()
+                base = plain.rstrip(_MARKS)
+                if base and base != w and base[-1:].isalnum():
+                    tail = plain[len(base) :]
+                    made.append((w, base, tail))
+                    if base not in memo:
+                        add(base)
+                    if tail and tail not in memo:
+                        add(tail)
+                    continue
+            add(w)
+        words, others = [], []
+        for w in need:
+            (words if w.isalpha() or not w.isascii() and w.decode().isalpha() else others).append(w)
+        parts = [words[k : k + _TOGETHER] for k in range(0, len(words), _TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in parts], add_special_tokens=False)
+        for part, x in zip(parts, found, strict=True):
+            ids = np.array(x.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):  # a letter's lower case may be more than a letter
+                others.extend(part)
+                continue
+            flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            memo.update(zip(part, [flat[a:b] for a, b in itertools.pairwise(cuts)], strict=True))
+        for w, x in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
+            memo[w] = np.array(x.ids, "<u4").tobytes()
+        for w, base, tail in made:
+            memo[w] = memo[base] + memo[tail] if tail else memo[base]
+
 
 _ids: dict[str, Ids] = {}
 
