@@ -72,7 +72,7 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """A lookup from one JSON object of molecule -> record."""
     record = "map<string, struct<rxcui:string, match_method:string, atc_codes:array<string>, atc_names:array<string>>>"
-    whole = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", record)).alias("molecule", "r"))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", record)).alias("molecule", "r"))
     return whole.select("molecule", "r.*", F.when(F.col("r.match_method") == "none", F.lit("none")).otherwise(F.lit("found")).alias("status"))
 
 
