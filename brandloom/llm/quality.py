@@ -45,7 +45,7 @@ class Scorer(NamedTuple):
 
 class Weak(NamedTuple):
     prior: float  # of good
-    right: np.ndarray  # class x labeller x vote: chance of a vote
+    right: np.ndarray  # class (good, then a kind of junk per labeller) x labeller x vote: chance of a vote
     posterior: dict[str, float]  # pattern: chance of good
 
 
@@ -113,40 +113,47 @@ def _patterns(v: np.ndarray) -> np.ndarray:
     return (v + 48).astype(np.uint8).view(f"S{v.shape[1]}").ravel()
 
 
-def estimate(counts: dict[str, int], rounds: int = 60, start: float = 0.9, false_alarm: float = 5e-4) -> Weak:
+def estimate(counts: dict[str, int], rounds: int = 60, start: float = 0.95, false_alarm: float = 5e-4, catch: float = 0.7) -> Weak:
     """Expectation-maximisation over vote patterns.
 
-    It starts from "bad if any heuristic says so", since each of them looks
-    for one kind of junk that the others overlook. An abstention says nothing
-    of either class. Every heuristic is set to be precise rather than complete,
-    so its chance of calling a good text bad is held under `false_alarm`; else
-    junk of a single kind could be explained away as that heuristic's error.
-    Without any pattern there are no posteriors.
+    The classes are good text and, for each heuristic, the kind of junk that it
+    looks for, since a text is seldom junk of two kinds at once. Every heuristic
+    is set to be precise: its chance of calling a good text bad is held under
+    `false_alarm`, and of catching its own kind over `catch`. All other chances
+    are learned. An abstention says nothing of any class. Without any pattern
+    there are no posteriors.
     """
+    many = len(LABELLERS)
     names = sorted(counts)
     if not names:
-        return Weak(0.5, np.full((2, len(LABELLERS), 3), 1 / 3), {})
+        return Weak(0.5, np.full((1 + many, many, 3), 1 / 3), {})
     n = np.array([counts[x] for x in names], float)
     v = np.array([[int(c) for c in x] for x in names])
     hot = np.eye(3)[v]  # patterns x labellers x votes
-    good = np.where((v == BAD).any(1), 1 - start, np.where((v == GOOD).any(1), start, 0.5))
-    right = np.full((2, v.shape[1], 3), 1 / 3)
-    prior = 0.5
+    bad = v == BAD
+    share = np.empty((len(names), 1 + many))  # of each class in each pattern
+    share[:, 0] = np.where(bad.any(1), 1 - start, start)
+    share[:, 1:] = np.where(bad.any(1)[:, None], bad / np.maximum(bad.sum(1), 1)[:, None] * start, (1 - start) / many)
+    own = np.arange(many)
+    right = np.zeros((1 + many, many, 3))
+    prior = np.zeros(1 + many)
     for _ in range(rounds):
-        weight = np.stack([n * (1 - good), n * good])
+        weight = share.T * n
         right = np.einsum("cp,plk->clk", weight, hot) + 0.5
         right[:, :, ABSTAIN] = 0
         right /= right.sum(2, keepdims=True)
-        right[1, :, BAD] = np.minimum(right[1, :, BAD], false_alarm)
-        right[1, :, GOOD] = 1 - right[1, :, BAD]
+        right[0, :, BAD] = np.minimum(right[0, :, BAD], false_alarm)
+        right[1 + own, own, BAD] = np.maximum(right[1 + own, own, BAD], catch)
+        right[:, :, GOOD] = 1 - right[:, :, BAD]
         right[:, :, ABSTAIN] = 1
-        prior = float(np.clip(weight[1].sum() / n.sum(), 1e-4, 1 - 1e-4))
-        log = np.einsum("plk,clk->pc", hot, np.log(right)) + np.log([1 - prior, prior])
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
-        moved, good = np.abs(new - good).max(), new
+        prior = np.maximum(weight.sum(1) / n.sum(), 1e-6)
+        log = np.einsum("plk,clk->pc", hot, np.log(right)) + np.log(prior)
+        new = np.exp(log - log.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        moved, share = np.abs(new - share).max(), new
         if moved < 1e-6:
             break
-    return Weak(prior, right, dict(zip(names, good.tolist(), strict=True)))
+    return Weak(float(prior[0] / prior.sum()), right, dict(zip(names, share[:, 0].tolist(), strict=True)))
 
 
 def hashed(texts: pa.Array, f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +200,8 @@ def train(rows: np.ndarray, ids: np.ndarray, values: np.ndarray, target: np.ndar
 def score(model: Scorer, texts: pa.Array, f: dict[str, np.ndarray]) -> np.ndarray:
     rows, ids, values = hashed(texts, f)
     z = np.bincount(rows, weights=model.weights[ids] * values, minlength=len(texts)) + model.bias
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    # equal texts get equal scores wherever they stand: vectorised exp may differ in its last bit
+    return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +248,7 @@ def fit(docs: DataFrame, max_train_rows: int = 8_000) -> tuple[Weak, Scorer]:
     got = chosen.select("text").mapInArrow(gather, "votes string, ids array<int>, vals array<float>").toArrow()
     target = np.array([weak.posterior.get(x, 0.5) for x in got.column("votes").to_pylist()])
     lists = got.column("ids").combine_chunks()
-    sizes = np.array([len(x) for x in lists])
+    sizes = np.array([len(x) for x in lists], np.int64)
     flat = lambda name: got.column(name).combine_chunks().flatten().to_numpy()
     return weak, train(np.repeat(np.arange(len(target)), sizes), flat("ids").astype(np.int64), flat("vals").astype(float), target)
 
