@@ -88,7 +88,7 @@ RULES = {
     "Unlicense": [["unlicense-grant"]],
 }
 #: Every known sentence holds one of these, so texts and sentences without any are passed over.
-TRIGGER = "(?i)licen[cs]e|copyright|permission|redistribut|warrant|public domain"
+TRIGGER = "(?i)licen[cs]e|copyright|permission|redistribut|warrant|public domain|(?:released|distributed|available) under"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -109,7 +109,7 @@ def rule_table() -> list[tuple[str, str]]:
 
 
 def _sentences(text: Column, line_ends: bool) -> Column:
-    cut = F.regexp_replace(text, r"([.!?;:])[ \t\r\n\f\x0B]+", "$1\n")
+    cut = F.regexp_replace(text, r"([.!?;])[ \t\r\n\f\x0B]+", "$1\n")
     return F.split(cut, "\n") if line_ends else F.split(F.regexp_replace(F.regexp_replace(text, "[\r\n]+", " "), r"([.!?;:])[ \t\f\x0B]+", "$1\n"), "\n")
 
 
@@ -157,7 +157,7 @@ def duckdb_sql() -> str:
 WITH known(sentence, id) AS (VALUES {known}), rules(license, ids) AS (VALUES {rules}),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 cut AS (
-  SELECT r, 1 AS way, string_split(regexp_replace(text, '([.!?;:])[ \t\r\n\f\x0B]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM d
+  SELECT r, 1 AS way, string_split(regexp_replace(text, '([.!?;])[ \t\r\n\f\x0B]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM d
   UNION ALL
   SELECT r, 2, string_split(regexp_replace(regexp_replace(text, '[\r\n]+', ' ', 'g'), '([.!?;:])[ \t\f\x0B]+', '\1' || chr(10), 'g'), chr(10)) FROM d
 ), sentences AS (
