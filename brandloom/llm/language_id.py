@@ -137,13 +137,13 @@ def decode(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.nda
     known &= total > 0
     if not model.languages:
         return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-    margins = np.stack([np.bincount(row, weights=model.weights[ids, bit], minlength=n) for bit in range(model.code.shape[1])], 1)
+    margins = np.stack([np.bincount(row, weights=model.weights[ids, bit], minlength=n).astype(float) for bit in range(model.code.shape[1])], 1)
     margins *= (np.minimum(total, STRENGTH) / np.maximum(total, 1))[:, None]
     loss = np.logaddexp(0, -margins[:, None, :] * model.code[None]) @ model.reliability
     likely = np.exp(-(loss - loss.min(1, keepdims=True)) * 4)
     likely /= likely.sum(1, keepdims=True)
     order = np.sort(likely, 1)
-    score = order[:, -1]
+    score = np.round(order[:, -1], 6)  # vectorised exp may differ in its last bit by place
     second = order[:, -2] if order.shape[1] > 1 else np.zeros(n)
     unsure = ~known | (score - second < model.margin)
     best = likely.argmax(1)
