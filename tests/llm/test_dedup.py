@@ -1,0 +1,124 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from brandloom.llm import near_dedup
+from brandloom.llm.components import components
+from brandloom.llm.setsketch import likely_jaccard, shingles, sketches
+from tests.llm.helpers import ODD, documents, row
+
+
+def plain_set(text, size):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1)))
+
+
+def plain_groups(rows, size):
+    sets = [(i, plain_set(t, size)) for i, t, *_ in rows if i is not None]
+    label = {i: i for i, _ in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i, a in sets:
+            for j, b in sets:
+                if a and b and label[i] != label[j] and 100 * len(a & b) >= 80 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return label, dict(sets)
+
+
+def copies(seed=3, families=12, most=9):
+    r = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(400)]
+    rows, i = [], 100
+    for f in range(families):
+        base = [r.choice(vocabulary) for _ in range(r.choice([6, 12, 60, 200]))]
+        for _ in range(r.randint(1, most)):
+            mine = list(base)
+            for _ in range(r.randint(0, len(base) // 8 + 1)):
+                mine[r.randrange(len(mine))] = r.choice(vocabulary)
+            rows.append(row(i, " ".join(w.upper() if r.random() < 0.1 else w for w in mine)))
+            i += 1
+    r.shuffle(rows)
+    return rows
+
+
+def as_dict(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_equal_to_brute_force(spark, size):
+    rows = copies() + [row(1, None), row(2, ""), row(3, "one"), row(4, "ONE"), row(5, "two words"), row(6, "two  words\n")]
+    label, sets = plain_groups(rows, size)
+    got = as_dict(near_dedup.groups(documents(spark, rows), size=size))
+    assert got == {i: (len(sets[i]), label[i], label[i] == i) for i in label}
+    assert len({x[1] for x in got.values()}) < len(got)
+
+
+def test_large_groups_go_bucket_by_bucket(spark):
+    rows = copies(5, families=5, most=30)
+    label, sets = plain_groups(rows, 2)
+    got = as_dict(near_dedup.groups(documents(spark, rows), size=2, most=8, block=4))
+    assert got == {i: (len(sets[i]), label[i], label[i] == i) for i in label}
+
+
+def test_chain_of_copies(spark):
+    words = [f"w{k}" for k in range(140)]
+    rows = [row(10 + k, " ".join(words[3 * k : 3 * k + 60])) for k in range(20)]
+    label, _ = plain_groups(rows, 2)
+    got = as_dict(near_dedup.groups(documents(spark, rows), size=2))
+    assert {i: x[1] for i, x in got.items()} == label and set(label.values()) == {10}
+
+
+def test_odd_rows(spark):
+    got = near_dedup.groups(documents(spark, ODD), size=2).collect()
+    assert len(got) == len(ODD)
+    by = {r["doc_id"]: r for r in got}
+    assert all(by[i]["n_shingles"] == 0 and by[i]["kept"] and by[i]["component_id"] == i for i in (1, 2, 3))
+    assert by[6]["n_shingles"] == 1 and by[None]["component_id"] is None
+    empty = documents(spark, [])
+    assert near_dedup.groups(empty).count() == 0 and near_dedup.keep_first(empty).count() == 0
+    kept = near_dedup.keep_first(documents(spark, ODD))
+    assert kept.columns == empty.columns
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
+
+
+def test_sketches():
+    r = np.random.default_rng(2)
+    a = np.sort(r.integers(0, 1 << 48, 900, dtype=np.uint64))
+    b = np.sort(np.concatenate([a[:800], r.integers(0, 1 << 48, 100, dtype=np.uint64)]))
+    s = sketches(np.repeat([0, 1, 2], [900, 900, 1000]), np.concatenate([a, b, np.union1d(a, b)[:1000]]), 4)
+    assert (s[3] == 0).all() and (s[:3] > 0).all()
+    union = np.union1d(a, b)
+    whole = sketches(np.zeros(len(union), int), union, 1)
+    assert (np.maximum(s[0], s[1]) == whole[0]).all()  # mergeable
+    j = likely_jaccard(s[:1], s[1:2], np.array([900.0]), np.array([900.0]))[0]
+    assert abs(j - 0.8) < 0.12
+    alone = sketches(np.array([0]), a[:1], 1)
+    beside = sketches(np.array([0, 1, 1]), np.concatenate([a[:1], a[1:3]]), 2)
+    assert (alone[0] == beside[0]).all()  # a set's sketch doesn't hang on its neighbours
+
+
+def test_shingles_do_not_cross_texts():
+    data = np.frombuffer(b"a b c" + b"" + b"c d", np.uint8)
+    row_, _ = shingles(data, np.array([0, 5, 5, 8]))
+    assert row_.tolist() == [0, 0, 2]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 130)] + [(200, k) for k in range(201, 230)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: label[x] for x in linked}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
