@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from brandloom.llm.common import raw, slices, stage, tune
 
@@ -156,24 +157,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     array<string> (sorted ids), spans array<struct<start,end>> (code points of
     the original text). Null and empty texts have no words, hence no hits; null
     items are skipped and an empty benchmark hits nothing. Repeated rows are
-    each scanned. Columns of `docs` named like an added one are refused.
+    each scanned. An added column takes the place of one of `docs` with its name.
     """
     spark = tune(docs.sparkSession)
-    if clash := {*docs.columns} & {"n_words", "n_hit", "items", "spans", "_ranges"}:
-        raise ValueError(f"columns {sorted(clash)} of the documents clash with the result's")
+    docs = docs.drop(*_clashing(docs))
     names = docs.columns
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    added = StructType.fromDDL(f"{_HITS}, {_KEPT}").fields
+    schema = StructType([*docs.schema.fields, *added])
     blocks = _blocks(benchmark, block_bytes)
     out, items, first = docs, next(blocks), True
     while items is not None:
         following = next(blocks, None)
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(items), window, first, following is None, names), f"{base}, {_HITS}, {_KEPT}")
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(items), window, first, following is None, names), schema)
         if following is not None:
             out = stage(out, "hits")
         items, first = following, False
     return out.drop("_ranges")
 
 
+def _clashing(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c.lower() in ("n_words", "n_hit", "items", "spans", "_ranges")]
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of documents that hold no window of the benchmark, unchanged."""
-    return scan(docs, benchmark, window).where("n_hit = 0").select(*docs.columns)
+    aside = {c: f"_own_{c}" for c in _clashing(docs)}
+    kept = scan(docs.withColumnsRenamed(aside), benchmark, window).where("n_hit = 0")
+    return kept.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))

@@ -74,8 +74,10 @@ def test_clean_documents_stay(spark):
     none = benchmark.where("false")
     assert decontaminate.keep_clean(docs, none).count() == docs.count()
     assert decontaminate.scan(docs.where("false"), benchmark).count() == 0
-    with pytest.raises(ValueError, match="n_hit"):
-        decontaminate.scan(docs.withColumnRenamed("source", "n_hit"), benchmark)
+    clash = docs.withColumnRenamed("source", "N_hit").withColumnRenamed("lang", "items")
+    assert decontaminate.scan(clash, benchmark).columns.count("n_hit") == 1
+    again = decontaminate.keep_clean(clash, benchmark)
+    assert again.columns == clash.columns and {x["N_hit"] for x in again.collect()} == {"src"}
 
 
 def lower_bound(lengths, capacity):
