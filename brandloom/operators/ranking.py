@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from brandloom.functions.similarity import edit_similarity, jaro_winkler_similarity
@@ -36,6 +36,12 @@ def rank(scored: DataFrame, top: int = 50, w_jw: float = W_JW, w_edit: float = W
     return best.withColumn("score", F.bround("score", 4))
 
 
+def observed(scored: DataFrame, name: str = "scored") -> tuple[DataFrame, Observation]:
+    """scored, and an Observation that has the number of its pairs once they are written."""
+    seen = Observation(name)
+    return scored.observe(seen, F.count(F.lit(1)).alias("pairs")), seen
+
+
 def scan_stats(scored: DataFrame, no_digits: bool = False) -> DataFrame:
     """Pairs scanned, and those that may be ranked."""
     digit = F.col("root_a").rlike(r"(?U)\d") | F.col("root_b").rlike(r"(?U)\d")

@@ -53,6 +53,7 @@ def block(spark: SparkSession, a: argparse.Namespace) -> None:
 def score(spark: SparkSession, a: argparse.Namespace) -> None:
     scored = ranking.score_pairs(tables.read_strings(spark, a.csv, ("root_a", "root_b")))
     tables.write_csv(scored, f"{a.outdir}/scored_pairs", places=4)
+    show(ranking.scan_stats(tables.read_csv(spark, f"{a.outdir}/scored_pairs", tables.SCORED)))
 
 
 def rank(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -97,6 +97,13 @@ def test_ranking(spark):
     assert tuple(ranking.scan_stats(scored, no_digits=True).first()) == (4, 3)
 
 
+def test_observed(spark):
+    scored = spark.createDataFrame([("a", "b", 0.9, 0.8)] * 3, "root_a string, root_b string, jw double, edit_sim double")
+    rows, seen = ranking.observed(scored)
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"pairs": 3}
+
+
 def test_substitutions_share_a_key(spark):
     names = ["abcdefgh"] + ["abcdefgh"[:i] + "z" + "abcdefgh"[i + 1 :] for i in range(8)]
     _, keys = keys_of(spark, names)
