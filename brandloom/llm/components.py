@@ -9,9 +9,13 @@ from brandloom.llm.common import stage
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours point to its least neighbour or itself."""
+    """Every node's larger neighbours point to its least neighbour or itself.
+
+    The minima are staged: both sides of the join then come from plain shuffles,
+    so Spark can split the partition of a node with very many neighbours.
+    """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
