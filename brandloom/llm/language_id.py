@@ -98,8 +98,8 @@ def fit(docs: DataFrame, max_train_rows: int = 20_000, margin: float = 0.1, smoo
     knows no language and predicts `und` for all.
     """
     tune(docs.sparkSession)
+    rows = docs.where("lang IS NOT NULL").count()  # without reading a text
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    rows = known.select(F.count(F.lit(1)).alias("n")).first()["n"]
     share = min(1.0, max_train_rows / max(rows, 1))
     chosen = known if share == 1 else known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
     counted = chosen.select("text", "lang").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
