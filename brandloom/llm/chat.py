@@ -38,26 +38,28 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     own. Null conv_ids are one conversation. A conversation with narrators
     only has no participant and gives no row, as does an empty table.
     """
+    # a key that is never null, so that joins and windows share one partitioning
+    key = F.when(F.col("conv_id").isNull(), F.lit("-")).otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string")))
     t = turns.select(
         "conv_id",
+        key.alias("conv"),
         F.col("turn").cast("long").alias("turn"),
         F.when(F.coalesce("role", F.lit("")) == "", F.lit(NOBODY)).otherwise(F.col("role")).alias("speaker"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("part", F.coalesce(F.floor(F.col("turn") / block), F.lit(2**62)))
-    views = t.where(~F.col("speaker").isin(*NARRATORS)).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    seen = t.join(views, t["conv_id"].eqNullSafe(views["c"])).drop("c")
+    # views meet the parts of their conversation first: its turns never meet in one task
+    views = t.where(~F.col("speaker").isin(*NARRATORS)).select("conv", F.col("speaker").alias("perspective")).distinct()
+    seen = t.join(t.select("conv", "part").distinct().join(views, "conv"), ["conv", "part"])
     header = _header(F.col("speaker"), F.col("perspective"))
     seen = seen.select("*", F.concat(header, "text", F.lit(END)).alias("segment"), F.length(header).alias("head")).withColumn("length", F.length("segment").cast("long"))
-    inside = Window.partitionBy("conv_id", "perspective", "part").orderBy(F.col("turn").asc_nulls_last(), "speaker", "text")
+    keys = ["conv", "part", "perspective"]
+    inside = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_last(), "speaker", "text")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     placed = seen.select("*", (F.row_number().over(inside) - 1).alias("k"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("at"))
-    key = ["conv_id", "perspective", "part"]
-    totals = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("chars"))
-    earlier = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = totals.select(
-        *(F.col(c).alias(f"b_{c}") for c in key), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("chars_before")
-    )
-    whole = placed.join(sums, F.col("conv_id").eqNullSafe(F.col("b_conv_id")) & (F.col("perspective") == F.col("b_perspective")) & (F.col("part") == F.col("b_part")))
+    totals = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("chars"))
+    earlier = Window.partitionBy("conv", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = totals.select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("chars_before"))
+    whole = placed.join(sums, keys)
     start = F.col("at") + F.col("chars_before")
     own = F.col("speaker") == F.col("perspective")
     words = start + F.col("head")
