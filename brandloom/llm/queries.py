@@ -41,7 +41,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(read(spark, sf_dir, "pages"))
+    return warc.round_trip(read(spark, sf_dir, "pages")).drop("url")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP7_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT hex, min(page_id) AS first FROM p GROUP BY hex
+)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (hex)
+"""
 OP8_SQL = r"""
 WITH w AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL
@@ -129,6 +140,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS c FROM rea
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_perspectives": chat.DUCKDB_SQL,
+        "op7_warc_index": OP7_SQL,
         "op8_decontaminate": OP8_SQL,
         "op9_setsketch_dedup": OP9_SQL,
         "op10_licenses": licenses.duckdb_sql(),
