@@ -71,12 +71,12 @@ def candidate_pairs(keys: DataFrame, max_block: int = 0, include_self_pairs: boo
     held = keys
     if max_block:
         held = keys.join(blocks(keys).where(F.col("size").between(2, max_block)).select("pass", "key"), ["pass", "key"], "left_semi")
-    once = held.groupBy("pass", "key", "id").agg(F.count(F.lit(1)).alias("times"))
-    a = once.select("pass", "key", F.col("id").alias("id_a"))
-    b = once.select("pass", "key", F.col("id").alias("id_b"))
-    pairs = a.join(b, ["pass", "key"]).where("id_a < id_b").select("id_a", "id_b")
+    # one shuffle of the keys serves both sides; a key that an id has twice only repeats a pair
+    a, b = held.alias("a"), held.alias("b")
+    pairs = a.join(b, F.expr("a.pass = b.pass AND a.key = b.key AND a.id < b.id")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
     if include_self_pairs:
-        pairs = pairs.union(once.where("times >= 2").select("id", F.col("id").alias("same")))
+        twice = held.groupBy("pass", "key", "id").agg(F.count(F.lit(1)).alias("times")).where("times >= 2")
+        pairs = pairs.union(twice.select("id", F.col("id").alias("same")))
     return pairs.distinct()
 
 

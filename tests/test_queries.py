@@ -39,3 +39,13 @@ def test_plans_push_down_and_prune(spark):
     assert "ReadSchema: struct<item_id:bigint,text:string>" in plan and "Python" not in plan
     df = catalog.queries()["rank_top50"](spark, DATA)
     assert "TakeOrderedAndProject" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_shuffle_serves_both_sides_of_the_pair_join(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.queries()["candidate_pairs_native"](spark, DATA)
+        df.collect()
+        assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
