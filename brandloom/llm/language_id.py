@@ -176,6 +176,7 @@ def held_out() -> F.Column:
 def keep_identified(docs: DataFrame, max_train_rows: int = 20_000) -> DataFrame:
     """The rows of documents whose language is found, unchanged.
 
+    Null and empty texts are rejected; with no labelled row all rows stay.
     Rejected are texts without a letter and those that stand between two
     codewords. `lang`, `source` and `doc_id` don't bear on a row's fate.
     """

@@ -275,7 +275,10 @@ def rate(docs: DataFrame, weak: Weak, scorer: Scorer, threshold: float = 0.4) ->
 
 
 def keep_good(docs: DataFrame, max_train_rows: int = 8_000, threshold: float = 0.4) -> DataFrame:
-    """The rows of documents that the scorer doesn't reject, unchanged."""
+    """The rows of documents that the scorer doesn't reject, unchanged.
+
+    A null or empty text is rated as a text without words; an empty table stays so.
+    """
     weak, scorer = fit(docs, max_train_rows)
     known = docs.sparkSession.sparkContext.broadcast(scorer)
 

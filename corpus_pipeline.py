@@ -18,27 +18,45 @@ from brandloom.llm.common import read, stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, or between two languages' codewords."""
+    """Rejects documents without a letter, or between two languages' codewords.
+
+    Null and empty texts go. Where no row has a language, nothing can be learned
+    and all stay. Other columns, nulls in them included, pass through.
+    """
     return language_id.keep_identified(docs)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what the scorer trained on weak labels rates under its threshold."""
+    """Rejects what the scorer trained on weak labels rates under its threshold.
+
+    Null and empty texts are rated as texts without words. Repeated rows share
+    their fate.
+    """
     return quality.keep_good(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles and 0.8, the least id stays."""
+    """Of documents linked by five-word shingles and 0.8, the least id stays.
+
+    Null and empty texts are linked with nothing and stay; of rows with one id,
+    one stays; rows without an id stay.
+    """
     return near_dedup.keep_first(docs, percent=80, size=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a window of the benchmark."""
+    """Rejects documents that hold a window of the benchmark.
+
+    Null and empty texts hold none and stay, as do all with an empty benchmark.
+    """
     return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token ids of what is left into sequences of 4096."""
+    """Packs the token ids of what is left into sequences of 4096.
+
+    Null and empty texts are an end id alone; an empty table gives no row.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
