@@ -38,7 +38,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 # Words in class names and ids of what is not the article.
 ASIDE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars "
+    "ad adbox ads adsbygoogle adslot adunit advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars "
     "footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus reply replies respond related recommended "
     "share sharing social newsletter subscribe subscription signup login pagination pager widget widgets skip banner".split()
 )
