@@ -197,18 +197,22 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5, most: int = MOST,
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     drawn = stage(docs.mapInArrow(_sketched(size), "doc_id long, n long, d1 long, d2 long, sketch binary"), "sketches")
-    first = drawn.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # Aggregates that a join follows are staged, so that both sides of the join come
+    # from plain shuffles and Spark can split the partition of a key with many rows.
+    same = drawn.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 AND first IS NOT NULL").select("d1", "d2", "first")
+    copies = drawn.join(stage(same, "copies"), ["d1", "d2"], "left")
     # every row and the least document with the very same set, which alone keeps the sketch
-    rows = stage(drawn.join(first, ["d1", "d2"], "left").select("doc_id", "n", "rep", F.expr("IF(doc_id = rep, sketch, NULL)").alias("sketch")), "rows")
+    rep = F.when(F.col("n") > 0, F.coalesce("first", "doc_id"))
+    rows = stage(copies.select("doc_id", "n", rep.alias("rep"), "sketch").withColumn("sketch", F.expr("IF(doc_id = rep, sketch, NULL)")), "rows")
     sets = rows.where("doc_id = rep AND n > 0").select(F.col("rep").alias("id"), "n", "sketch")
     bands = sets.select(
         "id",
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS)), i))).alias("band"),
     )
     hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("band", "hub")
-    pointers = stage(bands.join(hubs, "band").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pointers")
+    pointers = stage(bands.join(stage(hubs, "hubs"), "band").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pointers")
     near = stage(components(pointers), "near")
-    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    sizes = stage(near.groupBy("component").agg(F.count(F.lit(1)).alias("k")), "sizes")
     member = near.join(sizes, "component")
     grouped = member.where(F.col("k") <= most).select(F.col("component").alias("grp"), "id", "k")
     if not sizes.where(F.col("k") > most).isEmpty():
@@ -227,7 +231,7 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5, most: int = MOST,
     )
     searched = dealt.join(members, "id").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "id")
     edges = stage(searched.select("grp", "i", "j", "side", "id", "n", "sketch", "members").mapInArrow(_search_blocks(percent), "a long, b long").distinct(), "links")
-    found = components(edges)
+    found = stage(components(edges), "found")
     out = rows.join(found, rows["rep"] == found["id"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select(
