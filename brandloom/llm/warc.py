@@ -180,6 +180,7 @@ def duplicates(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, sha1, refers_to) of pages whose payload a smaller page_id has too."""
     digests = pages.select("page_id", _sha1().alias("sha1"), F.octet_length(_html()).alias("n")).where(F.col("n") >= least_bytes)
     first = digests.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last")
+    first = stage(first, "firsts")  # so that Spark can split the join at a payload that very many pages share
     return digests.join(first, "sha1").where("page_id > refers_to").select("page_id", "sha1", "refers_to").distinct()
 
 
