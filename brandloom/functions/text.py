@@ -17,6 +17,11 @@ WS = r"[\s\x1C-\x1F]"
 _PARENS = r"(?d)\(.*?\)"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _strip(x: Column) -> Column:
     return F.regexp_replace(x, rf"(?U)^{WS}+|{WS}+$", "")
 
@@ -31,8 +36,21 @@ def _tokens(x: Column) -> Column:
 
 def _without_tail(tokens: Column, drops, least: int = 0) -> Column:
     """tokens up to the last one that `drops(token, index, tokens)` doesn't drop."""
-    kept = F.array_max(F.concat(F.array(F.lit(least)), F.transform(tokens, lambda t, i: F.when(drops(t, i, tokens), F.lit(0)).otherwise(i + 1))))
-    return F.slice(tokens, 1, F.least(kept, F.size(tokens)))
+
+    def cut(all_: Column) -> Column:
+        kept = F.array_max(F.concat(F.array(F.lit(least)), F.transform(all_, lambda t, i: F.when(drops(t, i, all_), F.lit(0)).otherwise(i + 1))))
+        return F.slice(all_, F.lit(1), F.least(kept, F.size(all_)))
+
+    return _let(tokens, cut)
+
+
+def _or_whole(text: Column, drops) -> Column:
+    """text without its tail, or all of it where nothing would be left."""
+
+    def choose(s: Column) -> Column:
+        return _let(F.array_join(_without_tail(_tokens(s), drops), " "), lambda root: F.when(root == "", s).otherwise(root))
+
+    return _let(text, choose)
 
 
 def normalise_molecule(raw: Column, keep_salts: bool = False, v: Vocabulary = DEFAULT) -> Column:
@@ -41,13 +59,16 @@ def normalise_molecule(raw: Column, keep_salts: bool = False, v: Vocabulary = DE
     A protected inorganic keeps its salt; at least one word is always kept.
     Null gives an empty string.
     """
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), r"[^a-z0-9\-/+]+", " "))
-    base = plain
-    if not keep_salts:
-        kept = F.array_join(_without_tail(F.split(plain, " "), lambda t, i, _: t.isin(v.salts), 1), " ")
-        base = F.when(plain.isin(v.protected), plain).otherwise(kept)
     spelling = F.create_map(*chain.from_iterable((F.lit(a), F.lit(b)) for a, b in sorted(v.spellings.items())))
-    return F.coalesce(F.try_element_at(spelling, base), base)
+
+    def base(plain: Column) -> Column:
+        if keep_salts:
+            return plain
+        kept = F.array_join(_without_tail(F.split(plain, " "), lambda t, i, _: t.isin(v.salts), 1), " ")
+        return F.when(plain.isin(v.protected), plain).otherwise(kept)
+
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(raw, F.lit(""))), r"[^a-z0-9\-/+]+", " "))
+    return _let(_let(plain, base), lambda name: F.coalesce(F.try_element_at(spelling, name), name))
 
 
 def normalise_strength(raw: Column) -> Column:
@@ -62,9 +83,10 @@ def parse_composition(cell: Column, keep_salts: bool = False, v: Vocabulary = DE
     leave the name. Blank cells and empty names are null.
     """
     last = F.regexp_replace(F.coalesce(F.try_element_at(F.regexp_extract_all(cell, F.lit(r"\(([^)]*)\)"), F.lit(1)), F.lit(-1)), F.lit("")), rf"(?U){WS}+", "")
-    strength = F.when(last.rlike(f"(?U)(?i){v.strength}"), F.lower(last)).otherwise(F.lit(""))
+    strength = _let(last, lambda x: F.when(x.rlike(f"(?U)(?i){v.strength}"), F.lower(x)).otherwise(F.lit("")))
     molecule = normalise_molecule(F.regexp_replace(cell, r"\([^)]*\)", " "), keep_salts, v)
-    return F.when((_strip(F.coalesce(cell, F.lit(""))) != "") & (molecule != ""), F.struct(molecule.alias("molecule"), strength.alias("strength")))
+    both = _let(F.struct(molecule.alias("molecule"), strength.alias("strength")), lambda p: F.when(p["molecule"] != "", p))
+    return F.when(_strip(F.coalesce(cell, F.lit(""))) != "", both)
 
 
 def brand_root(name: Column, v: Vocabulary = DEFAULT) -> Column:
@@ -72,8 +94,7 @@ def brand_root(name: Column, v: Vocabulary = DEFAULT) -> Column:
     s = _strip(F.lower(F.coalesce(name, F.lit(""))))
     s = F.replace(F.replace(s, F.lit("sugar free"), F.lit(" ")), F.lit("sugarfree"), F.lit(" "))
     s = F.regexp_replace(F.regexp_replace(s, _PARENS, " "), r"(?U)[^a-z0-9\s\x1C-\x1F\-/+.]", " ")
-    root = F.array_join(_without_tail(_tokens(s), lambda t, i, _: t.isin(v.forms) | t.rlike(f"(?U)(?i){v.strength}")), " ")
-    return F.when(root == "", s).otherwise(root)
+    return _or_whole(s, lambda t, i, _: t.isin(v.forms) | t.rlike(f"(?U)(?i){v.strength}"))
 
 
 def clean_root(name: Column, v: Vocabulary = DEFAULT) -> Column:
@@ -95,8 +116,7 @@ def clean_root(name: Column, v: Vocabulary = DEFAULT) -> Column:
         before = F.coalesce(F.get(tokens, i - 1), F.lit(""))
         return soft(t) | ((i > 0) & (t.rlike("[0-9]") | (t.rlike("^[a-z]{1,2}$") & (soft(before) | before.rlike("[0-9]")))))
 
-    root = F.array_join(_without_tail(_tokens(s), drops), " ")
-    return F.when(root == "", s).otherwise(root)
+    return _or_whole(s, drops)
 
 
 def letters_only(root: Column) -> Column:
