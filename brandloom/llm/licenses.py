@@ -1,7 +1,9 @@
 """Licence scans by sentences and rules, in DataFrame operations only.
 
-A text is cut into sentences twice: once with line ends as ends, for notices
-that stand on a line, and once with line ends as spaces, for wrapped prose.
+A text is cut into sentences three times: with line ends as ends, for notices
+that stand on a line; with line ends as spaces, for wrapped prose; and as such
+prose whose paragraphs end sentences, too, for licence files. The DuckDB SQL
+has the first two cuts.
 Normalised sentences map to identifiers, and the sequence of identifiers is
 searched for licence rules: identifiers that follow each other in this order
 among the known sentences.
@@ -9,7 +11,9 @@ among the known sentences.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +93,8 @@ RULES = {
 }
 #: Every known sentence holds one of these, so texts and sentences without any are passed over.
 TRIGGER = "(?i)licen[cs]e|copyright|permission|redistribut|warrant|public domain|(?:released|distributed|available) under"
+#: A line end and a line without a letter or digit, whatever the line ends are.
+BLANK = r"(?>\r\n?|\n)[^\p{L}\p{N}\r\n]*(?>\r\n?|\n)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,6 +119,11 @@ def _sentences(text: Column, line_ends: bool) -> Column:
     return F.split(cut, "\n") if line_ends else F.split(F.regexp_replace(F.regexp_replace(text, "[\r\n]+", " "), r"([.!?;:])[ \t\f\x0B]+", "$1\n"), "\n")
 
 
+def _paragraphs(text: Column) -> Column:
+    """The text with a mark that ends a sentence for each blank line, so that its prose ends there."""
+    return F.regexp_replace(text, BLANK, "! ")
+
+
 def _identified(text: Column, known: Column, line_ends: bool) -> Column:
     """Identifiers of the known sentences, in order, each followed by a comma."""
     hot = F.filter(_sentences(text, line_ends), lambda s: s.rlike(TRIGGER))
@@ -125,7 +136,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     sentence_ids are the identifiers in order, comma-joined, of the sentences
     that end with their lines; licenses the sorted comma-joined licences whose
-    rule either way of cutting fulfils. Null and empty texts have none.
+    rule any way of cutting fulfils. Null and empty texts have none.
     Repeated rows are each scanned; an empty table gives no rows.
     """
     known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sorted(sentence_table().items())))
@@ -136,11 +147,13 @@ def scan(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.when(hot, _identified(text, known, True)).otherwise(none).alias("by_line"),
         F.when(hot, _identified(text, known, False)).otherwise(none).alias("by_prose"),
+        F.when(hot, _identified(_paragraphs(text), known, False)).otherwise(none).alias("by_paragraph"),
     )
     chain_of = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
     rules = F.array(*(F.struct(F.lit(a).alias("license"), F.lit(b).alias("ids")) for a, b in rule_table()))
-    met = F.transform(F.filter(rules, lambda r: F.contains(chain_of("by_line"), r["ids"]) | F.contains(chain_of("by_prose"), r["ids"])), lambda r: r["license"])
-    some = (F.size("by_line") > 0) | (F.size("by_prose") > 0)
+    ways = ("by_line", "by_prose", "by_paragraph")
+    met = F.transform(F.filter(rules, lambda r: reduce(or_, (F.contains(chain_of(w), r["ids"]) for w in ways))), lambda r: r["license"])
+    some = reduce(or_, (F.size(w) > 0 for w in ways))
     licenses = F.when(some, F.array_join(F.array_sort(F.array_distinct(met)), ",")).otherwise(F.lit(""))
     return found.select("doc_id", F.array_join("by_line", ",").alias("sentence_ids"), F.size("by_line").cast("long").alias("n_known"), licenses.alias("licenses")).withColumn(
         "licensed", F.col("licenses") != ""
@@ -148,7 +161,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def duckdb_sql() -> str:
-    """The same scan of a view `documents`, for DuckDB."""
+    """The same scan of a view `documents`, for DuckDB, without the cut by paragraphs."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted(sentence_table().items()))
     rules = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in rule_table())

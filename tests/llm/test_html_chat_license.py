@@ -119,3 +119,55 @@ def test_every_known_sentence_has_a_trigger(spark):
     assert table.where(~F.col("s").rlike(licenses.TRIGGER)).count() == 0
     ids = set(licenses.sentence_table().values())
     assert all(i in ids for _, rule in licenses.rule_table() for i in rule.strip(",").split(","))
+
+
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.
+"""
+MIT = f"""MIT License
+
+Copyright (c) 2024 Jane Doe
+
+{GRANT}
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+{WARRANTY}"""
+ISC = """ISC License
+
+Copyright (c) 2024, Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+"""
+BSD0 = ISC.replace("ISC License", "Zero-Clause BSD").replace(""", provided that the above
+copyright notice and this permission notice appear in all copies.""", ".")
+
+
+def test_whole_licence_files(spark):
+    def commented(text):
+        return "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in text.splitlines()) + " */\nint x;\n"
+
+    def licences(texts):
+        got = licenses.scan(documents(spark, [(i, t, None, "s", 0) for i, t in enumerate(texts)])).collect()
+        return [r["licenses"] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+    files = {"MIT": MIT, "ISC": ISC, "0BSD": BSD0}
+    for change in (lambda t: t, commented, lambda t: t.replace("\n", "\r\n"), lambda t: t.replace("\n", "\r"), lambda t: t.replace("\n\n", "\n \t\n")):
+        assert licences([change(t) for t in files.values()]) == list(files)
+    # a blank line inside a sentence ends none of the plain prose
+    assert licences(["Licensed under\n\nthe MIT License."]) == ["MIT"]
