@@ -11,6 +11,7 @@ among the known sentences.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import chain
 from operator import or_
@@ -91,6 +92,23 @@ RULES = {
     "MPL-2.0": [["mpl-notice"]],
     "Unlicense": [["unlicense-grant"]],
 }
+# Pieces that the cuts yield of sentences with a ';' inside, which stand as a whole above and in the SQL.
+PIECES = {
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl2-or-later": "either version 2 of the license or at your option any later version",
+    "gpl3-or-later": "either version 3 of the license or at your option any later version",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-no-warranty": "without even the implied warranty of merchantability or fitness for a particular purpose",
+}
+# Licence rules over those pieces.
+PIECE_RULES = {
+    "GPL-2.0-or-later": [["gpl-terms", "gpl2-or-later"]],
+    "GPL-3.0-or-later": [["gpl-terms", "gpl3-or-later"]],
+}
+#: SPDX identifiers of families with -only, which means the plain identifier, and -or-later.
+FAMILIES = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+#: The older way to write -or-later in an SPDX notice.
+PLUS = r"(?i)(spdx-license-identifier:[ \t]*[al]?gpl-[0-9.]+)\+"
 #: Every known sentence holds one of these, so texts and sentences without any are passed over.
 TRIGGER = "(?i)licen[cs]e|copyright|permission|redistribut|warrant|public domain|(?:released|distributed|available) under"
 #: A line end and a line without a letter or digit, whatever the line ends are.
@@ -114,20 +132,39 @@ def rule_table() -> list[tuple[str, str]]:
     return out + [(spdx, f",notice-{spdx},") for spdx in NAMES]
 
 
+def spdx_table() -> dict[str, str]:
+    """Normalised SPDX notice -> licence, for every SPDX identifier among the licences."""
+    out = {x: x for x in (*NAMES, *RULES)}
+    for x in FAMILIES:
+        out |= {f"{x}-only": x, f"{x}-or-later": f"{x}-or-later"}
+    return {f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', k.lower())}": v for k, v in out.items()}
+
+
+def known_sentences() -> dict[str, str]:
+    """sentence_table, the pieces, and all SPDX notices."""
+    return {k: f"notice-{v}" for k, v in spdx_table().items()} | {v: k for k, v in PIECES.items()} | sentence_table()
+
+
+def known_rules() -> list[tuple[str, str]]:
+    """rule_table, the rules over pieces, and those of SPDX notices that have no other names."""
+    more = [(spdx, f",{','.join(ids)},") for spdx, rules in PIECE_RULES.items() for ids in rules]
+    return rule_table() + more + [(x, f",notice-{x},") for x in sorted(set(spdx_table().values()) - set(NAMES))]
+
+
 def _sentences(text: Column, line_ends: bool) -> Column:
     cut = F.regexp_replace(text, r"([.!?;])[ \t\r\n\f\x0B]+", "$1\n")
     return F.split(cut, "\n") if line_ends else F.split(F.regexp_replace(F.regexp_replace(text, "[\r\n]+", " "), r"([.!?;:])[ \t\f\x0B]+", "$1\n"), "\n")
 
 
 def _paragraphs(text: Column) -> Column:
-    """The text with a mark that ends a sentence for each blank line, so that its prose ends there."""
-    return F.regexp_replace(text, BLANK, "! ")
+    """The text with a mark that ends a sentence for each blank line, and no end between "v." and a number."""
+    return F.regexp_replace(F.regexp_replace(text, BLANK, "! "), r"\b([vV])\.[ \t\r\n\f\x0B]+(?=[0-9])", "$1 ")
 
 
 def _identified(text: Column, known: Column, line_ends: bool) -> Column:
     """Identifiers of the known sentences, in order, each followed by a comma."""
     hot = F.filter(_sentences(text, line_ends), lambda s: s.rlike(TRIGGER))
-    plain = F.transform(hot, lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " ")))
+    plain = F.transform(hot, lambda s: F.trim(F.regexp_replace(F.translate(F.regexp_replace(s, PLUS, "$1-or-later"), _UPPER, _LOWER), "[^a-z0-9]+", " ")))
     return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
 
 
@@ -139,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rule any way of cutting fulfils. Null and empty texts have none.
     Repeated rows are each scanned; an empty table gives no rows.
     """
-    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sorted(sentence_table().items())))
+    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sorted(known_sentences().items())))
     none = F.array().cast("array<string>")
     text = F.coalesce("text", F.lit(""))
     hot = text.rlike(TRIGGER)
@@ -150,7 +187,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.when(hot, _identified(_paragraphs(text), known, False)).otherwise(none).alias("by_paragraph"),
     )
     chain_of = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
-    rules = F.array(*(F.struct(F.lit(a).alias("license"), F.lit(b).alias("ids")) for a, b in rule_table()))
+    rules = F.array(*(F.struct(F.lit(a).alias("license"), F.lit(b).alias("ids")) for a, b in known_rules()))
     ways = ("by_line", "by_prose", "by_paragraph")
     met = F.transform(F.filter(rules, lambda r: reduce(or_, (F.contains(chain_of(w), r["ids"]) for w in ways))), lambda r: r["license"])
     some = reduce(or_, (F.size(w) > 0 for w in ways))
@@ -161,7 +198,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def duckdb_sql() -> str:
-    """The same scan of a view `documents`, for DuckDB, without the cut by paragraphs."""
+    """The same scan of a view `documents`, for DuckDB, without the cut by paragraphs, pieces and further SPDX notices."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted(sentence_table().items()))
     rules = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in rule_table())

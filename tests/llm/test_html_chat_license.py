@@ -158,16 +158,65 @@ BSD0 = ISC.replace("ISC License", "Zero-Clause BSD").replace(""", provided that
 copyright notice and this permission notice appear in all copies.""", ".")
 
 
-def test_whole_licence_files(spark):
-    def commented(text):
-        return "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in text.splitlines()) + " */\nint x;\n"
+def licences(spark, texts):
+    got = licenses.scan(documents(spark, [(i, t, None, "s", 0) for i, t in enumerate(texts)])).collect()
+    return [r["licenses"] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def commented(text):
+    return "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in text.splitlines()) + " */\nint x;\n"
 
-    def licences(texts):
-        got = licenses.scan(documents(spark, [(i, t, None, "s", 0) for i, t in enumerate(texts)])).collect()
-        return [r["licenses"] for r in sorted(got, key=lambda r: r["doc_id"])]
 
+def test_whole_licence_files(spark):
     files = {"MIT": MIT, "ISC": ISC, "0BSD": BSD0}
     for change in (lambda t: t, commented, lambda t: t.replace("\n", "\r\n"), lambda t: t.replace("\n", "\r"), lambda t: t.replace("\n\n", "\n \t\n")):
-        assert licences([change(t) for t in files.values()]) == list(files)
+        assert licences(spark, [change(t) for t in files.values()]) == list(files)
     # a blank line inside a sentence ends none of the plain prose
-    assert licences(["Licensed under\n\nthe MIT License."]) == ["MIT"]
+    assert licences(spark, ["Licensed under\n\nthe MIT License."]) == ["MIT"]
+
+
+GPL = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_gpl_headers(spark):
+    third = GPL.replace("version 2", "version 3")
+    texts = [GPL, commented(GPL), " ".join(GPL.split()), third, third.replace("software;", "software:").replace("Foundation;", "Foundation,"), GPL.replace("either version 2", "version 9")]
+    assert licences(spark, texts) == ["GPL-2.0-or-later"] * 3 + ["GPL-3.0-or-later"] * 2 + [""]
+    whole = licenses.scan(documents(spark, [(1, " ".join(GPL.split()), None, "s", 0)])).first()
+    assert whole["sentence_ids"] == "gpl-terms,gpl2-or-later,gpl-hope,gpl-no-warranty"
+
+
+def test_mpl_header(spark):
+    text = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+    assert licences(spark, [text, commented(text), " ".join(text.split()), text.replace("v. 2", "v. 3")]) == ["MPL-2.0"] * 3 + [""]
+
+
+def test_spdx_notices(spark):
+    plain = sorted({*licenses.NAMES, *licenses.RULES})
+    only = [f"{x}-only" for x in licenses.FAMILIES]
+    later = [f"{x}-or-later" for x in licenses.FAMILIES]
+    plus = [f"{x}+" for x in licenses.FAMILIES]
+    forms = ("SPDX-License-Identifier: %s", "# SPDX-License-Identifier: %s\n\nint x;", "/* SPDX-License-Identifier: %s */")
+    for form in forms:
+        assert licences(spark, [form % x for x in plain + only + later + plus]) == plain + list(licenses.FAMILIES) + later + later
+    assert licences(spark, ["SPDX-License-Identifier: Apache-2.0+", "SPDX-License-Identifier: GPL-2.0-with-x"]) == ["Apache-2.0", ""]
+
+
+def test_every_piece_has_a_trigger(spark):
+    table = spark.createDataFrame([(s,) for s in licenses.known_sentences()], "s string")
+    assert table.where(~F.col("s").rlike(licenses.TRIGGER)).count() == 0
+    ids = set(licenses.known_sentences().values())
+    assert all(i in ids for _, rule in licenses.known_rules() for i in rule.strip(",").split(","))
+    assert licenses.sentence_table().items() <= licenses.known_sentences().items()
