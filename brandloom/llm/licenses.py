@@ -109,8 +109,9 @@ PIECE_RULES = {
 FAMILIES = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
 #: The older way to write -or-later in an SPDX notice.
 PLUS = r"(?i)(spdx-license-identifier:[ \t]*[al]?gpl-[0-9.]+)\+"
-#: Every known sentence holds one of these, so texts and sentences without any are passed over.
-TRIGGER = "(?i)licen[cs]e|copyright|permission|redistribut|warrant|public domain|(?:released|distributed|available) under"
+#: Every known sentence holds one of these, so texts and sentences without any are passed over. They are
+#: sought before normalising: between two words may stand whatever that makes a space.
+TRIGGER = "(?i)licen[cs]e|copyright|permission|redistribut|warrant|public[^a-zA-Z0-9]+domain|(?:released|distributed|available)[^a-zA-Z0-9]+under"
 #: A line end and a line without a letter or digit, whatever the line ends are.
 BLANK = r"(?>\r\n?|\n)[^\p{L}\p{N}\r\n]*(?>\r\n?|\n)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

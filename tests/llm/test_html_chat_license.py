@@ -220,3 +220,24 @@ def test_every_piece_has_a_trigger(spark):
     ids = set(licenses.known_sentences().values())
     assert all(i in ids for _, rule in licenses.known_rules() for i in rule.strip(",").split(","))
     assert licenses.sentence_table().items() <= licenses.known_sentences().items()
+
+
+def test_no_document_is_passed_over(spark):
+    texts = ["Released\nunder MIT.", "Released  under Apache 2.0.", "Distributed\tunder the GPLv3.", "Available\r\n# under the GPLv2.", "This is free and unencumbered software released into the public\ndomain."]
+    assert licences(spark, texts) == ["MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "Unlicense"]
+    # every known sentence, its words apart in ways that normalising undoes
+    known = [x for x in licenses.known_sentences() if x]
+    for gap in ("  ", "\n", "\t", "\r\n * ", " -- ", "\u00a0", ", "):
+        table = spark.createDataFrame([(x.replace(" ", gap).title(),) for x in known], "s string")
+        assert table.where(~F.col("s").rlike(licenses.TRIGGER)).count() == 0
+
+
+def test_the_sql_finds_nothing_more(spark):
+    duckdb = pytest.importorskip("duckdb")
+    docs = [(i, t, None, "s", 0) for i, t in enumerate(["Released\nunder MIT.", "Released  under Apache 2.0.", "Distributed\tunder the GPLv3.", MIT, ISC, GPL, BSD, None, "", *(x for x, _ in NOTICES)])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [d[:2] for d in docs])
+    sql = {r[0]: set(filter(None, r[3].split(","))) for r in con.execute(licenses.duckdb_sql()).fetchall()}
+    got = {r["doc_id"]: set(filter(None, r["licenses"].split(","))) for r in licenses.scan(documents(spark, docs)).collect()}
+    assert all(sql[i] <= got[i] for i in got) and sql[0] == {"MIT"} and sql[2] == {"GPL-3.0"}
