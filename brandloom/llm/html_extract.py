@@ -1,7 +1,7 @@
 """Main text of web pages by host consensus.
 
-First every page scores its containers by the prose in them and votes for
-their paths, tags with generalised classes from the root down. The votes are
+First every page scores its containers by the prose in them, an article's
+never below what stands inside it, and votes for their paths, tags with generalised classes from the root down. The votes are
 summed for each host, and the path with most votes is the host's. Then every
 page is read again and gives the text under its host's path; a page without
 such a container, or a host without a vote, falls back to its own best one.
@@ -65,6 +65,7 @@ class Page(NamedTuple):
     paths: list[str]  # of each container
     parents: list[int]
     blocks: list[Block]
+    articles: list[bool]  # containers tagged as the article
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -104,7 +105,7 @@ def parse(source: str) -> Page:
     Tags may be unclosed, misnested, unquoted or cut off: an end tag closes
     what stands open inside its element and is ignored if that isn't open.
     """
-    paths, parents, blocks = [""], [-1], []
+    paths, parents, blocks, tagged = [""], [-1], [], [False]
     stack: list[tuple[str, int, bool, bool]] = []  # tag, container, whether it is left out, or an article
     here, left_out, articles, link = 0, 0, 0, 0
     parts: list[str] = []
@@ -188,19 +189,24 @@ def parse(source: str) -> Page:
                 stack.append((tag, here, True, False))
                 left_out += 1
         elif tag in CONTAINERS:
+            article = _is_article(tag, attributes)
             if not left_out:
                 paths.append(f"{paths[here]}/{_step(tag, attributes)}")
                 parents.append(here)
+                tagged.append(article and tag not in ("html", "body"))
                 here = len(paths) - 1
-            article = _is_article(tag, attributes)
             stack.append((tag, here, False, article))
             articles += article
     flush()
-    return Page(paths, parents, blocks)
+    return Page(paths, parents, blocks, tagged)
 
 
 def scores(page: Page) -> list[float]:
-    """How much each container looks like the article: prose in it and below it."""
+    """How much each container looks like the article: prose in it and below it.
+
+    One that is tagged as the article scores no less than any container inside
+    it, however long that is, so its heading and lead stay with the rest.
+    """
     n = len(page.paths)
     prose, linked, total = [0.0] * n, [0] * n, [0] * n
     for b in page.blocks:
@@ -223,6 +229,12 @@ def scores(page: Page) -> list[float]:
             out[k] *= 0.7
         elif {w.lower() for w in _WORDS.findall(names)} & ARTICLE:
             out[k] *= 1.25
+    below = [0.0] * n
+    for k in range(n - 1, 0, -1):
+        if page.articles[k]:
+            out[k] = max(out[k], below[k])
+        up = page.parents[k]
+        below[up] = max(below[up], below[k], out[k])
     return out
 
 
@@ -277,11 +289,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes among each host's pages (url, html)."""
+    """(host, path): the path with most votes among each host's pages (url, html), of equal ones the outer."""
     tune(pages.sparkSession)
     cast = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_vote, "host string, path string, votes long")
     counted = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
+    return counted.groupBy("host").agg(F.max_by("path", F.struct("votes", -F.length("path"), "path")).alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -40,6 +40,33 @@ def test_consensus(spark):
     assert html_extract.extract(empty).count() == 0
 
 
+NESTED = [
+    "<body><nav>Home</nav><article><h1>Title</h1><p>A lead, in short.</p><div class='entry-content'>%s</div><p>By Ann.</p></article><footer>(c)</footer>",
+    "<body><div class=post><h1>Title</h1><p>A lead, in short.</p><div class=content>%s</div><p>By Ann.</p></div><div class=sidebar>Links</div>",
+    "<body class='single-post'><div>Site name</div><main><h1>Title</h1><p>A lead, in short.</p><div><article class=post>%s</article></div><p>By Ann.</p></main>",
+    "<body><div class='Post wide'><h1><a href=/>Title</a></h1><div class=lead><p>A lead, in short.</p></div><div><div class=content>%s</div></div><p>By Ann.</p></div>",
+]
+
+
+@pytest.mark.parametrize("template", NESTED)
+@pytest.mark.parametrize("times", [1, 5, 40, 400])
+def test_heading_and_lead_stay(template, times):
+    page = html_extract.parse(template % (ARTICLE * times))
+    wanted = "\n\n".join(["Title", "A lead, in short.", *[TEXT] * times, "By Ann."])
+    assert html_extract.text_under(page, None)[0] == wanted
+
+
+def test_long_pages_cut_nothing_off_short_ones(spark):
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", t % (ARTICLE * times)) for h, t in enumerate(NESTED) for i, times in enumerate([1, 400, 400, 400])]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(r["text"].startswith("Title\n\nA lead, in short.\n\nFirst & ") and r["text"].endswith("By Ann.") for r in got)
+
+
+def test_many_open_articles():
+    page = html_extract.parse("<div class=post>" * 1000 + ARTICLE)
+    assert html_extract.votes(page)[0] == ("/div.post", 1000)
+
+
 def plain_views(rows):
     out = {}
     for conv in {r[0] for r in rows}:
