@@ -3,8 +3,9 @@
 Every input partition packs its own pieces best-fit, longest first. Nearly full
 sequences are final there; the others become items (sequence, fill) of the next
 round, in which an eighth as many partitions pack them again, and so on up the
-tree until one partition has met all, or a round gains nothing. Only those
-small items move between machines: the pieces stay where they are until one
+tree until one partition has met all. Where that is too much for one, the
+sequences are counted by their fills, and the counts are packed: all have met
+without being in one place. Only those small items move between machines: the pieces stay where they are until one
 join at the end tells each its final sequence and shift.
 """
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brandloom.llm.common import raw, slices, stage, tune
@@ -142,6 +143,41 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return where, offset, np.array(fill, np.int64)
 
 
+def best_fit_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """best_fit of `counts` items of each length, longest first, many at a time.
+
+    Rows (length, rank, bin, each, offset) in this order: of the items of a
+    length, the one j after rank is in bin + j // each, at offset + j % each
+    times its length. As with best_fit, no two bins fit into one.
+    """
+    groups: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by free places: first bin, bins
+    open_ = made = 0
+    plan = []
+    for length, n in sorted(counts.items(), reverse=True):
+        rank = 0
+        while rank < n:
+            above = open_ >> length
+            if above:
+                free = length + (above & -above).bit_length() - 1
+                first, bins = groups[free].pop()
+                if not groups[free]:
+                    open_ ^= 1 << free
+            else:
+                free, first, bins = capacity, made, -(-(n - rank) // (capacity // length))
+                made += bins
+            each = free // length
+            items = min(n - rank, bins * each)
+            plan.append((length, rank, first, each, capacity - free))
+            full, rest = divmod(items, each)
+            partly = min(rest, 1)
+            for left, at, some in ((free - each * length, first, full), (free - rest * length, first + full, partly), (free, first + full + partly, bins - full - partly)):
+                if left and some:
+                    groups[left].append((at, some))
+                    open_ |= 1 << left
+            rank += items
+    return sorted(plan)
+
+
 def _number(counter: int) -> int:
     """Bins are numbered apart in every task of one round."""
     return (TaskContext.get().partitionId() << 36) + counter
@@ -210,6 +246,54 @@ def _pack_bins(capacity: int):
     return run
 
 
+def _rank(capacity: int):
+    """Number the sequences of each fill within a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(capacity + 1, np.int64)
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            fills = batch.column("fill").to_numpy()
+            order = np.argsort(fills, kind="stable")
+            ordered = fills[order]
+            rank = np.empty(len(fills), np.int64)
+            rank[order] = np.arange(len(fills)) - np.searchsorted(ordered, ordered) + seen[ordered]
+            seen += np.bincount(fills, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("bin"), batch.column("fill"), pa.array(np.full(len(fills), task, np.int64)), pa.array(rank)], ["bin", "fill", "task", "rank"])
+
+    return run
+
+
+def _place(plan: list[tuple[int, int, int, int, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, start, first, each, offset = np.array(plan, np.int64).T
+        keys = (length << 44) + start
+        for batch in batches:
+            fill, rank = (batch.column(c).to_numpy() for c in ("fill", "rank"))
+            k = np.searchsorted(keys, (fill << 44) + rank, "right") - 1
+            j = rank - start[k]
+            yield pa.RecordBatch.from_arrays([batch.column("bin"), pa.array(first[k] + j // each[k]), pa.array(offset[k] + j % each[k] * fill)], ["bin", "into", "shift"])
+
+    return run
+
+
+def _pack_counts(waiting: DataFrame, capacity: int) -> DataFrame | None:
+    """(bin, into, shift) of all waiting (bin, fill) packed together; None if none of them merge.
+
+    The driver sees a count for each fill; each sequence finds its place by its
+    rank among those of its fill.
+    """
+    ranked = stage(waiting.select("bin", "fill").mapInArrow(_rank(capacity), "bin long, fill long, task long, rank long"), "ranked")
+    own = ranked.groupBy("task", "fill").agg(F.count(F.lit(1)).alias("n"))
+    before = stage(own.select("task", "fill", "n", (F.sum("n").over(Window.partitionBy("fill").orderBy("task")) - F.col("n")).alias("before")), "ranks")
+    counts = {r["fill"]: r["n"] for r in before.groupBy("fill").agg(F.sum("n").alias("n")).collect()}
+    plan = best_fit_counts(counts, capacity)
+    if all(each == 1 and offset == 0 for *_, each, offset in plan):
+        return None
+    at = ranked.join(before.drop("n"), ["task", "fill"]).select("bin", "fill", (F.col("rank") + F.col("before")).alias("rank"))
+    return at.mapInArrow(_place(plan), "bin long, into long, shift long")
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
     """Pieces of `docs` (doc_id, text) and their places in sequences.
 
@@ -226,10 +310,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int =
     left, parts = waiting.count(), pieces.rdd.getNumPartitions()
     moves = None  # bin -> into, shift: only of underfull sequences
     level = 0
-    while left > 1:
+    all_met = by_counts = False
+    while left > 1 and not all_met:
         level += 1
         parts = max(1, -(-parts // FAN_IN), -(-left // BUFFER))
-        merged = stage(waiting.repartition(parts).mapInArrow(_pack_bins(capacity), "bin long, into long, shift long, into_fill long"), f"merge-{level}")
+        all_met = by_counts or parts == 1
+        if by_counts:
+            merged = _pack_counts(waiting, capacity)
+            if merged is None:
+                break
+            merged = stage(merged, f"merge-{level}")
+        else:
+            merged = stage(waiting.repartition(parts).mapInArrow(_pack_bins(capacity), "bin long, into long, shift long, into_fill long"), f"merge-{level}")
         # a sequence number of this level: negative, so it can't equal one of the first
         merged = merged.withColumn("into", -(F.col("into") * 64 + level))
         if moves is None:
@@ -240,13 +332,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int =
                 moves.join(now, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")),
                 f"moves-{level}",
             )
+        if all_met:
+            break
         waiting = merged.where((F.col("shift") == 0) & (F.col("into_fill") < capacity - slack)).select(F.col("into").alias("bin"), F.col("into_fill").alias("fill"))
         made = merged.where("shift = 0").count()
-        after = waiting.count()
-        # one task has seen all, or what is too much for one task no longer merges
-        if parts == 1 or made > 0.99 * left and left > BUFFER:
-            break
-        left = after
+        # what is too much for one task and hardly merges in several
+        by_counts = made > 0.99 * left and left > BUFFER
+        left = waiting.count()
     base = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "place")
     if moves is None:
         return base.withColumnsRenamed({"bin": "sequence_id", "place": "offset"})

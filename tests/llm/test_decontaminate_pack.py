@@ -149,3 +149,33 @@ def test_ids_of_odd_words():
     texts += ["".join(r.choices("aB'sSt.,!<|>1é İΣ́\t\n日", k=50)) for _ in range(200)]
     for t, found in zip(texts, ids([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_best_fit_of_counts():
+    r = random.Random(6)
+    for capacity in (7, 32, 64):
+        for _ in range(60):
+            counts = {r.randint(1, capacity): r.randint(1, 40) for _ in range(r.randint(1, 12))}
+            plan = packing.best_fit_counts(counts, capacity)
+            bins: dict[int, list[tuple[int, int]]] = {}
+            for n, count in counts.items():
+                own = [p for p in plan if p[0] == n]
+                for rank in range(count):
+                    _, start, first, each, offset = [p for p in own if p[1] <= rank][-1]
+                    j = rank - start
+                    bins.setdefault(first + j // each, []).append((offset + j % each * n, n))
+            for items in bins.values():
+                items.sort()
+                assert [o for o, _ in items] == [0, *itertools.accumulate(n for _, n in items)][:-1] and sum(n for _, n in items) <= capacity
+            least = sorted(sum(n for _, n in items) for items in bins.values())
+            assert len(least) < 2 or least[0] + least[1] > capacity
+            lengths = np.array(sorted((n for n, c in counts.items() for _ in range(c)), reverse=True))
+            assert len(bins) == len(packing.best_fit(lengths, capacity)[2])
+
+
+def test_sequences_in_many_tasks_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUFFER", 16)  # so that what one task takes is small
+    few = {40 * k for k in range(8)}
+    rows = [row(i, "word " * (10 if i in few else 27)) for i in range(400)]  # 11 or 28 tokens; only the few merge
+    got = packing.pack(documents(spark, rows).repartition(20), PATH, 32).collect()
+    assert len(got) == 400 and check_packed(got, 32) == 392 + 4
