@@ -57,8 +57,8 @@ def _keys(spark: SparkSession, sf_dir: str, passes: tuple[str, ...] = blocking.N
     return numbered, blocking.block_keys(numbered, passes)
 
 
-def _of_keys(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(_keys(spark, sf_dir)[1])
+def _of_keys(f: Callable[[DataFrame], DataFrame], passes: tuple[str, ...] = blocking.NATIVE) -> Query:
+    return lambda spark, sf_dir: f(_keys(spark, sf_dir, passes)[1])
 
 
 def _scored(spark: SparkSession, sf_dir: str, passes: tuple[str, ...] = blocking.NATIVE) -> DataFrame:
@@ -66,8 +66,8 @@ def _scored(spark: SparkSession, sf_dir: str, passes: tuple[str, ...] = blocking
     return ranking.score_pairs(blocking.named(blocking.candidate_pairs(keys), numbered))
 
 
-def _of_scored(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(_scored(spark, sf_dir))
+def _of_scored(f: Callable[[DataFrame], DataFrame], passes: tuple[str, ...] = blocking.NATIVE) -> Query:
+    return lambda spark, sf_dir: f(_scored(spark, sf_dir, passes))
 
 
 def _as_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,8 @@ def _as_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(F.col("root").alias("brand_root"), F.col("root").alias("composition"), F.col("root").alias("example_name"), "id")
 
 
-def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered, keys = _keys(spark, sf_dir)
+def _probe(spark: SparkSession, sf_dir: str, passes: tuple[str, ...] = blocking.NATIVE) -> DataFrame:
+    numbered, keys = _keys(spark, sf_dir, passes)
     known = spark.createDataFrame(PROBES, "root_a string, root_b string")
     return blocking.recall_probe(known, numbered, blocking.candidate_pairs(keys))
 
@@ -129,6 +129,15 @@ def queries() -> dict[str, Query]:
         "rank_top50": _of_scored(ranking.rank),
         "rank_no_digits": _of_scored(lambda s: ranking.rank(s, 20, 0.3, 0.7, no_digits=True)),
         "scan_stats": _of_scored(lambda s: ranking.scan_stats(s, no_digits=True)),
+        # by all seven passes, three of which SQL can't express; above, what has SQL is by the four native ones
+        "pass_contribution_all7": _of_keys(blocking.pass_contribution, blocking.PASSES),
+        "block_stats_all7": lambda spark, sf_dir: blocking.block_stats(*_keys(spark, sf_dir, blocking.PASSES)),
+        "big_blocks_top8_all7": _of_keys(lambda k: blocking.big_blocks(k, over=10), blocking.PASSES),
+        "recall_probe_all7": lambda spark, sf_dir: _probe(spark, sf_dir, blocking.PASSES),
+        "score_pairs_all7": lambda spark, sf_dir: _scored(spark, sf_dir, blocking.PASSES),
+        "rank_top50_all7": _of_scored(ranking.rank, blocking.PASSES),
+        "rank_no_digits_all7": _of_scored(lambda s: ranking.rank(s, 20, 0.3, 0.7, no_digits=True), blocking.PASSES),
+        "scan_stats_all7": _of_scored(lambda s: ranking.scan_stats(s, no_digits=True), blocking.PASSES),
         "atc_mapping": _of_mapping(lambda x: x),
         "atc_unmapped": _of_mapping(coverage.unmapped),
         "atc_unmapped_top20": _of_mapping(coverage.unmapped_top),
