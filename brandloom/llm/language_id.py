@@ -55,9 +55,12 @@ def codewords(n: int) -> np.ndarray:
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed gram ids of all texts, and the row that each belongs to."""
-    data, offsets = raw(pc.utf8_lower(texts))
-    if len(data) < 3:
+    """Hashed gram ids of all texts, and the row that each belongs to.
+
+    A space stands at either end of every text, so a letter alone has grams.
+    """
+    data, offsets = raw(pc.binary_join_element_wise("", pc.utf8_lower(texts), "", " "))
+    if len(data) < 3:  # no text with a character
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     b = _LETTER[data].astype(np.uint32)
     edge = np.zeros(len(b), bool)

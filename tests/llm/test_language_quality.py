@@ -63,6 +63,18 @@ def test_language_odd_rows(spark):
     assert kept.columns == documents(spark, []).columns and {1, 2, 3, 4}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_every_letter_counts_whatever_the_batch(spark):
+    model = language_id.fit(documents(spark, corpus()))
+    texts = ["A", "ok", "é", "x 1", "the river of the market", "", " ", "12", "日"]
+    names, score, unsure = language_id.decode(model, pa.array(texts))
+    assert [n == "und" for n in names] == [t in ("", " ", "12") for t in texts]
+    for i, t in enumerate(texts):
+        own = language_id.decode(model, pa.array([t]))
+        assert (own[0][0], own[1][0], own[2][0]) == (names[i], score[i], unsure[i])
+    got = {r["doc_id"]: r for r in language_id.predict(documents(spark, [row(1, "A")]), model).collect()}
+    assert got[1]["lang_pred"] != "und" and got[1]["score"] > 0
+
+
 JUNK = [
     lambda r: " ".join(w.upper() + "!!" for w in prose(r, "en", 40).split()),
     lambda r: " ".join(w + r.choice(["***", "%%%", "&&&"]) for w in prose(r, "en", 40).split()),
