@@ -44,6 +44,8 @@ ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 32 << 20
 #: Lines in a compressed index block.
 BLOCK_LINES = 1024
+#: Begins the URN of a record whose page has no id.
+NO_PAGE = "urn:x-no-page:"
 _MASK = (1 << 64) - 1
 
 
@@ -60,14 +62,18 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int, digest: str) -> str:
-    """A URN with half of the payload's digest above the page's id."""
+def record_id(page_id: int | None, digest: str, url: str | None = None) -> str:
+    """A URN with half of the payload's digest above the page's id; without an id, of the digests of payload and URL."""
+    if page_id is None:
+        return f"<{NO_PAGE}{digest}:{digest_of((url or '').encode())}>"
     high = int.from_bytes(base64.b32decode(digest)[:8], "big")
     return f"<urn:uuid:{UUID(int=high << 64 | page_id & _MASK)}>"
 
 
-def page_of(urn: str) -> int:
+def page_of(urn: str) -> int | None:
     """The page id in a record's URN."""
+    if urn.strip("<>").startswith(NO_PAGE):
+        return None
     low = UUID(urn.strip("<>").removeprefix("urn:uuid:")).int & _MASK
     return low - (1 << 64) if low >> 63 else low
 
@@ -90,12 +96,14 @@ def surt(url: str | None) -> str:
     return quote(f"{key}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else ""), safe="%/:?@!$&'()*+,;=~-._")
 
 
-def line_key(url: str | None, page_id: int) -> str:
-    """Key and id, so that lines sort as text by both, also for negative ids."""
+def line_key(url: str | None, page_id: int | None) -> str:
+    """Key and id, so that lines sort as text by both, also for negative ids; a null id is "-", before all others."""
+    if page_id is None:
+        return f"{surt(url)} -"
     return f"{surt(url)} {page_id + (1 << 63):020d}"
 
 
-def build_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, digest: str | None = None) -> bytes:
+def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str | None = None) -> bytes:
     """One uncompressed record: a response, or a revisit that leaves the payload out."""
     digest = digest or digest_of(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -103,7 +111,7 @@ def build_record(page_id: int, url: str | None, payload: bytes, refers_to: int |
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id, digest)}",
+        f"WARC-Record-ID: {record_id(page_id, digest, url)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {clean_uri(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -198,7 +206,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     Of pages with equal payloads of at least `least_bytes` bytes, the one with
     the smallest id is a response and the others revisit it; all else are
     responses. Null html is an empty payload, a null url has an empty key. A
-    row without page_id is refused, since no record could name it.
+    row with a null page_id is a response, and null when it is read back.
     """
     tune(pages.sparkSession)
     ready = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")

@@ -120,3 +120,13 @@ def test_keys_and_records():
         warc.parse_record(record[: len(record) // 2])
     with pytest.raises(ValueError):
         warc.parse_record(b"nothing")
+
+
+def test_null_page_ids(spark):
+    rows = [(None, "http://x/", "same"), (None, "http://x/", "same"), (None, "http://x/", "other"), (None, None, None), (3, "http://x/", "same"), (5, "http://y/", "same")]
+    got = warc.round_trip(pages(spark, rows)).collect()
+    found = sorted((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in got)
+    want = [(i or 0, len(h or ""), warc.digest_of((h or "").encode()), "revisit" if i == 5 else "response", 3 if i == 5 else 0) for i, _, h in rows]
+    assert found == sorted(want) and [r["page_id"] for r in got].count(None) == 4
+    ids = {warc.record_id(i, warc.digest_of((h or "").encode()), u) for i, u, h in rows}
+    assert len(ids) == 5 and sum(warc.page_of(x) is None for x in ids) == 3
