@@ -203,6 +203,8 @@ def frames_of(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]
     elif kind == EBML_LACING:
         if n > 1:
             size, at = read_size(data, at)
+            if size is None:
+                raise ValueError(f"the first laced frame at byte {at} has no size")
             sizes.append(size)
             for _ in range(n - 2):
                 width = 9 - data[at].bit_length()
@@ -279,6 +281,8 @@ def _demux(data: bytes) -> Movie:
                     elif k != SIMPLE_BLOCK:
                         continue
                     track, x = read_size(data, x)
+                    if track is None:
+                        raise ValueError(f"the block at byte {x} has no track")
                     relative, flags = struct.unpack_from(">hB", data, x)
                     step = each.get(track, 0)
                     time = (since + relative) * scale
@@ -298,8 +302,9 @@ def feature(payload: bytes, movie: Movie) -> str:
 def encode(docs: DataFrame, compression: str = "zstd") -> DataFrame:
     """(doc_id, n_bytes, media) of docs (doc_id, text), written and read back.
 
-    media is each whole text's file; a null or empty text gives one unit of
-    zeros. Repeated rows are each stored.
+    media is each whole text's file, however long; a null or empty text gives
+    one unit of zeros. Repeated rows are each stored, equal texts as equal
+    files; a null doc_id stays null, and an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

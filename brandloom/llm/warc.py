@@ -30,7 +30,7 @@ from uuid import UUID
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brandloom.llm.common import new_path, slices, stage, tune
@@ -38,10 +38,16 @@ from brandloom.llm.common import new_path, slices, stage, tune
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 4
-#: An archive file is closed beyond this size, and records are read back in
-#: tasks of this much of a file.
+#: An archive file is closed beyond this size.
 ARCHIVE_BYTES = 256 << 20
+#: Records are read back in tasks of about READ_BYTES of compressed records,
+#: dealt out in runs of RUN_BYTES of a file; lines are sorted and looked up in
+#: tasks of about SHARD_LINES. Smaller inputs keep all cores busy as long as a
+#: task has a LEAST_SHARE of that.
 READ_BYTES = 32 << 20
+RUN_BYTES = 256 << 10
+SHARD_LINES = 1 << 19
+LEAST_SHARE = 1 / 32
 #: Lines in a compressed index block.
 BLOCK_LINES = 1024
 #: Begins the URN of a record whose page has no id.
@@ -149,6 +155,11 @@ def member(data: bytes) -> bytes:
     return b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff" + squeeze.compress(data) + squeeze.flush() + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
+def _tasks(spark: SparkSession, amount: int, each: int) -> int:
+    """How many tasks an amount of work is dealt to: its pointers alone say nothing of it."""
+    return max(1, -(-amount // each), min(spark.sparkContext.defaultParallelism, int(amount // (each * LEAST_SHARE))))
+
+
 def _attempt(kind: str) -> str:
     task = TaskContext.get()
     return f"{kind}-{task.partitionId():06d}-{task.taskAttemptId()}"
@@ -251,8 +262,8 @@ def _index(folder: str):
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
     """Sort captures into shard files; (shard, first_key, blocks), a row each."""
-    tune(captures.sparkSession)
-    ordered = captures.repartitionByRange("line_key").sortWithinPartitions("line_key", "file", "offset")
+    spark = tune(captures.sparkSession)
+    ordered = captures.repartitionByRange(_tasks(spark, captures.count(), SHARD_LINES), "line_key").sortWithinPartitions("line_key", "file", "offset")
     return stage(ordered.mapInArrow(_index(folder), "shard string, first_key string, blocks long"), "shards")
 
 
@@ -291,9 +302,11 @@ def lookup(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
 
     The shards' first keys, one for each index file, go to every task.
     """
-    tune(keys.sparkSession)
-    known = sorted((r["first_key"].encode(), r["shard"]) for r in shards.select("first_key", "shard").collect())
+    spark = tune(keys.sparkSession)
+    rows = shards.select("first_key", "shard", "blocks").collect()
+    known = sorted((r["first_key"].encode(), r["shard"]) for r in rows)
     firsts, names = [k for k, _ in known], [n for _, n in known]
+    tasks = _tasks(spark, BLOCK_LINES * sum(r["blocks"] for r in rows), SHARD_LINES)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,16 +334,18 @@ def lookup(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()], strict=True)], ["line_key", "page_id", "file", "offset", "length"])
 
     placed = keys.select("line_key").distinct().mapInArrow(place, "line_key string, shard string")
-    return placed.repartitionByRange("shard", "line_key").sortWithinPartitions("shard", "line_key").mapInArrow(search, _CAPTURE)
+    return placed.repartitionByRange(tasks, "shard", "line_key").sortWithinPartitions("shard", "line_key").mapInArrow(search, _CAPTURE)
 
 
 def read_records(captures: DataFrame, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of captures.
 
     Records are read by their ranges, in the order of the archive. A response's
-    payload is digested again and must match what the record says.
+    payload is digested again and must match what the record says. The captures
+    are read twice, first for the sum of their lengths, so they should be staged.
     """
-    tune(captures.sparkSession)
+    spark = tune(captures.sparkSession)
+    total = captures.agg(F.sum("length").alias("n")).first()["n"] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
@@ -351,8 +366,8 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    part = F.floor(F.col("offset") / READ_BYTES)
-    ordered = captures.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset")
+    run_of = F.floor(F.col("offset") / RUN_BYTES)
+    ordered = captures.select("file", "offset", "length").repartition(_tasks(spark, total, READ_BYTES), "file", run_of).sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
@@ -368,7 +383,14 @@ def line_keys(pages: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write pages and their index, look every page up and read its record."""
+    """Write pages and their index, look every page up and read its record.
+
+    Null html is an empty payload and a null url an empty key; a row with a
+    null page_id comes back with it, once for each such row. Very long payloads
+    are records like any other. Of equal payloads under one page_id each is
+    looked up once and read as often as it was written. No pages give no rows.
+    """
     folder = new_path(pages.sparkSession, "warc")
     shards = write_index(write_archives(pages, folder, least_bytes), folder)
-    return read_records(lookup(line_keys(pages), shards, folder), folder)
+    found = stage(lookup(line_keys(pages), shards, folder), "found")
+    return read_records(found, folder)

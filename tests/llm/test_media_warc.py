@@ -130,3 +130,24 @@ def test_null_page_ids(spark):
     assert found == sorted(want) and [r["page_id"] for r in got].count(None) == 4
     ids = {warc.record_id(i, warc.digest_of((h or "").encode()), u) for i, u, h in rows}
     assert len(ids) == 5 and sum(warc.page_of(x) is None for x in ids) == 3
+
+
+def test_read_back_is_dealt_out_by_bytes(spark):
+    rows = [(i, f"http://h{i % 7}/{i}", random.Random(i).randbytes(1500).hex()) for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.round_trip(pages)
+    parts = got.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert sum(parts) == 3000 and len(parts) > 1 and max(parts) < 2400
+    assert warc._tasks(spark, 0, 100) == 1 and warc._tasks(spark, 100 * 1000, 100) == 1000
+
+
+def test_laces_without_a_size_are_malformed():
+    with pytest.raises(ValueError):
+        mk.frames_of(b"\x02\xff\x81\x81" + bytes(20), 0, 24, mk.EBML_LACING)
+
+
+def test_clashing_columns(spark):
+    text = spark.createDataFrame([(1, "abc", b"x", "f", 7)], "doc_id long, text string, media binary, feature string, n_bytes int")
+    assert [r["n_bytes"] for r in mk.describe(mk.encode(text)).collect()] == [3]
+    pages = spark.createDataFrame([(1, "http://x/", "a", "k", "f", 5, "s", 3)], "page_id long, url string, html string, line_key string, file string, offset long, sha1 string, refers_to long")
+    assert [(r["page_id"], r["payload_bytes"], r["refers_to"]) for r in warc.round_trip(pages).collect()] == [(1, 1, None)]
