@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,12 +261,95 @@ def test_no_document_is_passed_over(spark):
         assert table.where(~F.col("s").rlike(licenses.TRIGGER)).count() == 0
 
 
-def test_the_sql_finds_nothing_more(spark):
+def by_sql(docs):
     duckdb = pytest.importorskip("duckdb")
-    docs = [(i, t, None, "s", 0) for i, t in enumerate(["Released\nunder MIT.", "Released  under Apache 2.0.", "Distributed\tunder the GPLv3.", MIT, ISC, GPL, BSD, None, "", *(x for x, _ in NOTICES)])]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [d[:2] for d in docs])
-    sql = {r[0]: set(filter(None, r[3].split(","))) for r in con.execute(licenses.duckdb_sql()).fetchall()}
-    got = {r["doc_id"]: set(filter(None, r["licenses"].split(","))) for r in licenses.scan(documents(spark, docs)).collect()}
-    assert all(sql[i] <= got[i] for i in got) and sql[0] == {"MIT"} and sql[2] == {"GPL-3.0"}
+    return sorted(con.execute(f"SELECT doc_id, sentence_ids, n_known, licenses, licensed FROM ({licenses.duckdb_sql()})").fetchall())
+
+
+def by_spark(spark, docs):
+    return sorted(tuple(r) for r in licenses.scan(documents(spark, docs)).select("doc_id", "sentence_ids", "n_known", "licenses", "licensed").collect())
+
+
+def test_the_sql_finds_the_same(spark):
+    texts = ["Released\nunder MIT.", "Released  under Apache 2.0.", "Distributed\tunder the GPLv3.", MIT, ISC, GPL, BSD, commented(MIT), commented(GPL), None, "", *(x for x, _ in NOTICES)]
+    docs = [(i, t, None, "s", 0) for i, t in enumerate(texts)]
+    assert by_spark(spark, docs) == by_sql(docs)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_sql_finds_the_same_in_random_white_space(spark, seed):
+    r = random.Random(seed)
+    known = [x for x in licenses.known_sentences() if x]
+    gaps = [" ", "  ", "\n", "\r\n", "\r", "\t", "\n\n", "\n # ", "\n \t\n", ", ", "\f", "\u00a0", " - "]
+    ends = [".", ". ", ";\n", ":", "! ", "\n", "\n\n", " ", "? ", ".\r\n", "."]
+    texts = []
+    for _ in range(400):
+        out = []
+        for _ in range(r.randint(1, 6)):
+            words = r.choice(known).split() if r.random() < 0.8 else r.choice(["v. 2 of it", "Neither the name of Acme Inc nor the names of its contributors may be used", "some prose, été", "SPDX-License-Identifier: GPL-2.0+"]).split()
+            usual = r.random() < 0.6
+            text = "".join(w + (" " if usual else r.choice(gaps)) for w in words).strip()
+            out.append(r.choice([str.upper, str.title, str.lower, str])(text) + r.choice(ends))
+        texts.append(r.choice(["", " ", "\n"]).join(out))
+    docs = [(i, t, None, "s", 0) for i, t in enumerate(texts)]
+    got = by_spark(spark, docs)
+    assert got == by_sql(docs) and sum(x[4] for x in got) > 100
+
+
+ZLIB = """Copyright (c) 2020 Jane Doe
+
+This software is provided 'as-is', without any express or implied warranty. In
+no event will the authors be held liable for any damages arising from the use
+of this software.
+
+Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to
+the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+"""
+BSD3 = BSD + """3. Neither the name of the University of Somewhere, Dept. 7, nor the names of its
+   contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission.
+""".replace(", Dept. 7,", "")
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+TITLE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc.
+"""
+
+
+def test_further_licences_and_named_holders(spark):
+    files = [ZLIB, BSD3, LGPL, AGPL, APACHE, TITLE]
+    for change in (lambda t: t, commented, lambda t: t.replace("\n", "\r\n")):
+        assert licences(spark, [change(t) for t in files]) == ["Zlib", "BSD-2-Clause,BSD-3-Clause", "LGPL-2.1-or-later", "AGPL-3.0-or-later", "Apache-2.0", "GPL-3.0"]
+    docs = [(i, t, None, "s", 0) for i, t in enumerate(files)]
+    assert by_spark(spark, docs) == by_sql(docs)
+
+
+def test_license_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", "mine", True)], "doc_id long, text string, licenses string, by_line boolean")
+    assert licenses.scan(docs).first()["licenses"] == "MIT"
