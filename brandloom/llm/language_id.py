@@ -1,13 +1,17 @@
 """Language identification with error-correcting output codes.
 
-Every language gets a codeword, a row of a Hadamard matrix, so any two differ
-in half of their bits. One binary classifier over hashed byte bigrams and
-trigrams predicts each bit; a text's language is the codeword with the least
-weighted logistic loss, where a bit weighs as much as its classifier is
-reliable. Texts whose two best codewords are close are flagged.
-
-Learning reads a bounded sample (`max_train_rows`, by a hash of the id); gram
-counts are summed in Spark, so the driver sees languages x buckets numbers.
+Every language gets a codeword whose bits are distinct dichotomies of the
+languages: all of them for a few languages, drawn ones for more, so that any
+two codewords differ in four bits or more from four languages on, and a wrong
+bit is outvoted. One binary classifier over hashed byte bigrams and trigrams
+predicts each bit; a text's language is the codeword with the least weighted
+logistic loss, where a bit weighs as much as its classifier is reliable and no
+bit's loss goes beyond that of a margin of LIMIT. Texts whose two best
+codewords are close are flagged.
+
+Learning reads a bounded sample (`max_train_rows`, by a hash of the id) of the
+`max_languages` most frequent languages in it; gram counts are summed in Spark,
+so the driver sees languages x buckets numbers.
 """
 
 from __future__ import annotations
@@ -27,6 +31,11 @@ BUCKETS = 1 << 15
 UNKNOWN = "und"
 #: Evidence of this many grams at most counts for one text.
 STRENGTH = 24.0
+#: A bit's margin counts up to this much either way, so that no bit outvotes all others.
+LIMIT = 4.0
+#: Languages whose dichotomies all become bits; beyond, BITS bits for each doubling are drawn.
+EXHAUSTIVE = 6
+BITS = 12
 
 # Letters of any alphabet keep their bytes; all else becomes one space.
 _LETTER = np.zeros(256, np.uint8)
@@ -43,15 +52,36 @@ class Model(NamedTuple):
     margin: float
 
 
-def codewords(n: int) -> np.ndarray:
-    """n rows of a Hadamard matrix without its constant column."""
-    size = 8
-    while size < n:
-        size *= 2
-    h = np.ones((1, 1))
-    while len(h) < size:
-        h = np.block([[h, h], [h, -h]])
-    return h[:n, 1:]
+def distance(code: np.ndarray) -> int:
+    """The least number of bits in which two codewords differ."""
+    n, bits = code.shape
+    apart = (bits - code @ code.T) / 2
+    return int(apart[~np.eye(n, dtype=bool)].min()) if n > 1 else bits
+
+
+def codewords(n: int, tries: int = 20) -> np.ndarray:
+    """n codewords of +1 and -1; no column is constant, or equal or opposite to another.
+
+    Up to EXHAUSTIVE languages, all dichotomies; any two codewords then differ
+    in 2 ** (n - 2) bits. Beyond, drawn ones, the best of several fixed draws
+    by that distance.
+    """
+    if n < 2:
+        return np.ones((n, 0))
+    if n <= EXHAUSTIVE:  # the first language is always on the positive side, so no column has its opposite
+        return np.array([[-1.0 if i and j >> (i - 1) & 1 else 1.0 for j in range(1, 1 << (n - 1))] for i in range(n)])
+    bits, best = int(np.ceil(BITS * np.log2(n))), np.ones((n, 0))
+    for seed in range(tries):
+        r = np.random.default_rng(seed)
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < bits:
+            c = r.choice([-1.0, 1.0], n)
+            if abs(c.sum()) < n:
+                columns.setdefault((c * c[0]).tobytes(), c * c[0])
+        code = np.stack(list(columns.values()), 1)
+        if not best.size or distance(code) > distance(best):
+            best = code
+    return best
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,18 +123,23 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(mine[at])], ["lang", "bucket", "n"])
 
 
-def fit(docs: DataFrame, max_train_rows: int = 20_000, margin: float = 0.1, smooth: float = 0.5) -> Model:
+def fit(docs: DataFrame, max_train_rows: int = 20_000, margin: float = 0.1, smooth: float = 0.5, max_languages: int = 128) -> Model:
     """Learn from `docs` (doc_id, text, lang); rows with null lang or text are skipped.
 
     About `max_train_rows` rows at most are read, chosen by a hash of doc_id,
-    so the choice is the same on every run. With no labelled row the model
-    knows no language and predicts `und` for all.
+    so the choice is the same on every run. Of these, the `max_languages`
+    languages with most rows are learned (of equal ones the first by name), so
+    a dirty column of names makes no model without bound. With no labelled row
+    the model knows no language and predicts `und` for all.
     """
     tune(docs.sparkSession)
     rows = docs.where("lang IS NOT NULL").count()  # without reading a text
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     share = min(1.0, max_train_rows / max(rows, 1))
     chosen = known if share == 1 else known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    names = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
+    if len(names) > max_languages:
+        chosen = chosen.where(F.col("lang").isin([r["lang"] for r in names[:max_languages]]))
     counted = chosen.select("text", "lang").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toPandas()
     languages = sorted(table["lang"].unique())
@@ -116,7 +151,7 @@ def fit(docs: DataFrame, max_train_rows: int = 20_000, margin: float = 0.1, smoo
 
 
 def model_of(languages: list[str], counts: np.ndarray, margin: float, smooth: float) -> Model:
-    code = codewords(max(1, len(languages)))[: len(languages)]
+    code = codewords(len(languages))
     share = (counts + smooth) / (counts + smooth).sum(1, keepdims=True) if len(languages) else counts
     weights = np.zeros((BUCKETS, code.shape[1]), np.float32)
     reliability = np.zeros(code.shape[1])
@@ -140,9 +175,13 @@ def decode(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.nda
     known &= total > 0
     if not model.languages:
         return [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-    margins = np.stack([np.bincount(row, weights=model.weights[ids, bit], minlength=n).astype(float) for bit in range(model.code.shape[1])], 1)
+    margins = np.zeros((n, model.code.shape[1]))
+    for bit in range(model.code.shape[1]):
+        margins[:, bit] = np.bincount(row, weights=model.weights[ids, bit], minlength=n)
     margins *= (np.minimum(total, STRENGTH) / np.maximum(total, 1))[:, None]
-    loss = np.logaddexp(0, -margins[:, None, :] * model.code[None]) @ model.reliability
+    margins = np.clip(margins, -LIMIT, LIMIT)
+    plus, minus = model.code > 0, model.code < 0
+    loss = (np.logaddexp(0, -margins) * model.reliability) @ plus.T + (np.logaddexp(0, margins) * model.reliability) @ minus.T
     likely = np.exp(-(loss - loss.min(1, keepdims=True)) * 4)
     likely /= likely.sum(1, keepdims=True)
     order = np.sort(likely, 1)
@@ -156,8 +195,10 @@ def decode(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.nda
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of every row of `docs` (doc_id, text).
 
-    A null, empty or letterless text is `und` with score 0 and ambiguous.
-    Repeated rows are each predicted; an empty table gives none.
+    A null, empty or letterless text is `und` with score 0 and ambiguous; any
+    other gets a learned language, by all of it however long. Of codewords that
+    are equally near, the first language by name is predicted, and the text is
+    ambiguous. Repeated rows are each predicted; an empty table gives none.
     """
     tune(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets at most

@@ -1,7 +1,9 @@
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from brandloom.llm import language_id, quality
 from tests.llm.helpers import ODD, WORDS, documents, prose, row
@@ -13,25 +15,72 @@ def corpus(n=240):
 
 
 def test_codewords_are_far_apart():
-    for n in (1, 4, 9, 40):
+    for n in (2, 3, 4, 5, 6, 7, 8, 9, 40, 128):
         code = language_id.codewords(n)
-        for a in range(n):
-            for b in range(a):
-                assert (code[a] != code[b]).sum() == (code.shape[1] + 1) / 2
+        columns = {tuple(c * c[0]) for c in code.T}
+        assert len(columns) == code.shape[1] and all(len(set(c)) == 2 for c in columns)  # distinct, not even opposite, none constant
+        least = min((code[a] != code[b]).sum() for a in range(n) for b in range(a))
+        assert least == language_id.distance(code) and least >= {2: 1, 3: 2}.get(n, 4)
+    assert language_id.codewords(1).shape == (1, 0)
 
 
-def test_a_wrong_bit_is_corrected():
-    counts = np.zeros((4, language_id.BUCKETS))
-    texts = [prose(random.Random(k), lang, 400) for k, lang in enumerate(sorted(WORDS))]
-    for i, t in enumerate(texts):
-        ids, _ = language_id.grams(pa.array([t]))
-        counts[i] += np.bincount(ids, minlength=language_id.BUCKETS)
-    model = language_id.model_of(sorted(WORDS), counts, 0.0, 0.5)
+LETTERS = {"en": "the of and with from", "de": "der und nicht über straße", "fr": "le des être déjà garçon", "es": "el niño señal años mañana", "it": "gli perché della città più", "pl": "się który żeby łódź będzie", "cs": "který není však při řeka"}
+
+
+def trained(names, words=400):
+    texts = [prose(random.Random(k), lang, words) if lang in WORDS else " ".join(random.Random(k).choices(LETTERS[lang].split(), k=words)) for k, lang in enumerate(names)]
+    counts = np.stack([np.bincount(language_id.grams(pa.array([t]))[0], minlength=language_id.BUCKETS) for t in texts]).astype(float)
+    return language_id.model_of(names, counts, 0.0, 0.5), texts
+
+
+@pytest.mark.parametrize("names", [sorted(WORDS), sorted(LETTERS), sorted(LETTERS)[:5]])
+def test_a_wrong_bit_is_corrected(names):
+    model, texts = trained(names)
+    assert language_id.decode(model, pa.array(texts))[0] == names
     for bit in range(model.code.shape[1]):
+        # every copy of the dichotomy: there is but one
+        same = [k for k in range(model.code.shape[1]) if abs((model.code[:, k] * model.code[:, bit]).sum()) == len(names)]
+        assert same == [bit]
         weights = model.weights.copy()
         weights[:, bit] *= -1
-        names, _, _ = language_id.decode(model._replace(weights=weights), pa.array(texts))
-        assert names == sorted(WORDS)
+        assert language_id.decode(model._replace(weights=weights), pa.array(texts))[0] == names
+
+
+def plain_decode(model, text):
+    """Language and score, letter by letter and bit by bit."""
+    padded = (" " + text.lower() + " ").encode()
+    b = [c if 97 <= c <= 122 or c > 127 else 32 for c in padded]
+    grams = [((b[i] << 8 | b[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 17 for i in range(len(b) - 1) if (b[i], b[i + 1]) != (32, 32)]
+    grams += [(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x85EBCA6B + 0x27D4EB2F) & 0xFFFFFFFF) >> 17 for i in range(len(b) - 2) if (b[i], b[i + 1]) != (32, 32) and (b[i + 1], b[i + 2]) != (32, 32)]
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    losses = []
+    for i in range(len(model.languages)):
+        loss = 0.0
+        for bit in range(model.code.shape[1]):
+            margin = sum(float(model.weights[g, bit]) for g in grams) * min(len(grams), language_id.STRENGTH) / len(grams)
+            margin = max(-language_id.LIMIT, min(language_id.LIMIT, margin))
+            loss += model.reliability[bit] * math.log1p(math.exp(-margin * model.code[i, bit]))
+        losses.append(loss)
+    likely = [math.exp(-4 * (x - min(losses))) for x in losses]
+    return model.languages[losses.index(min(losses))], max(likely) / sum(likely)
+
+
+def test_against_a_plain_decoder():
+    r = random.Random(6)
+    for names in (sorted(WORDS), sorted(LETTERS)):
+        model, _ = trained(names)
+        texts = [prose(r, lang, r.randint(1, 30)) for lang in WORDS for _ in range(10)] + ["a", "é", "", "12", "Ab c", "日本", "ok?", "x " * 3000]
+        found, score, _ = language_id.decode(model, pa.array(texts))
+        for t, f, s in zip(texts, found, score, strict=True):
+            name, wanted = plain_decode(model, t)
+            assert f == name and abs(s - wanted) < 2e-4, t
+
+
+def test_a_dirty_column_makes_a_bounded_model(spark):
+    rows = corpus() + [row(1000 + i, f"text number {i}", f"lang-{i:05d}") for i in range(300)]
+    model = language_id.fit(documents(spark, rows), max_languages=10)
+    assert len(model.languages) == 10 and set(WORDS) <= set(model.languages)
 
 
 def test_held_out_accuracy(spark):
