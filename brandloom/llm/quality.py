@@ -2,8 +2,9 @@
 
 Overlapping heuristics each vote good, bad or abstain on every text. Votes of
 the whole corpus are counted by pattern in Spark (at most 3 ** heuristics
-patterns), and expectation-maximisation on those counts estimates how often
-each heuristic is right in either class, and the posterior of each pattern.
+patterns), and expectation-maximisation on those counts estimates a confusion
+table of each heuristic, how often it is right on good and on bad texts, and the
+posterior of each pattern. Nothing of these is set beforehand but weak priors.
 The posteriors then label a bounded sample (`max_train_rows`, by a hash of the
 id) on which a hashed linear scorer is trained; that scorer rates every text.
 """
@@ -15,7 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brandloom.llm.common import raw, slices, tune
@@ -45,7 +46,8 @@ class Scorer(NamedTuple):
 
 class Weak(NamedTuple):
     prior: float  # of good
-    right: np.ndarray  # class (good, then a kind of junk per labeller) x labeller x vote: chance of a vote
+    right: np.ndarray  # class (good, bad) x labeller x vote (abstain, good, bad): share of votes, the confusion tables
+    kinds: np.ndarray  # share of texts in each latent class, good first
     posterior: dict[str, float]  # pattern: chance of good
 
 
@@ -113,47 +115,68 @@ def _patterns(v: np.ndarray) -> np.ndarray:
     return (v + 48).astype(np.uint8).view(f"S{v.shape[1]}").ravel()
 
 
-def estimate(counts: dict[str, int], rounds: int = 60, start: float = 0.95, false_alarm: float = 5e-4, catch: float = 0.7) -> Weak:
+#: Weak priors in texts, (good votes, bad votes): of good texts, of a kind of junk by
+#: the labeller that looks for it, and of a kind by any other labeller.
+ON_GOOD, ON_OWN, ON_OTHER = (300.0, 1.0), (1.0, 4.0), (1.0, 1.0)
+
+
+def estimate(counts: dict[str, int], kinds: bool = True, rounds: int = 300) -> Weak:
     """Expectation-maximisation over vote patterns.
 
-    The classes are good text and, for each heuristic, the kind of junk that it
-    looks for, since a text is seldom junk of two kinds at once. Every heuristic
-    is set to be precise: its chance of calling a good text bad is held under
-    `false_alarm`, and of catching its own kind over `catch`. All other chances
-    are learned. An abstention says nothing of any class. Without any pattern
-    there are no posteriors.
+    Good texts are one latent class. Bad ones are another or, with `kinds`, a
+    mixture of as many as there are labellers, since a text is seldom junk of
+    two kinds at once: labellers that never fire together then are no evidence
+    against each other. Each class has a chance of a bad vote for every
+    labeller; all of them and the classes' sizes are learned from the counts,
+    from where texts that any labeller calls bad are bad, and the ON_ priors
+    only weigh as much as some texts. That a labeller abstains says which texts
+    it applies to, mostly long ones, and is no evidence for a class; the tables
+    have its share. Without any pattern there are no posteriors.
     """
-    many = len(LABELLERS)
     names = sorted(counts)
     if not names:
-        return Weak(0.5, np.full((1 + many, many, 3), 1 / 3), {})
+        return Weak(0.5, np.full((2, len(LABELLERS), 3), 1 / 3), np.array([0.5, 0.5]), {})
     n = np.array([counts[x] for x in names], float)
-    v = np.array([[int(c) for c in x] for x in names])
-    hot = np.eye(3)[v]  # patterns x labellers x votes
-    bad = v == BAD
-    share = np.empty((len(names), 1 + many))  # of each class in each pattern
-    share[:, 0] = np.where(bad.any(1), 1 - start, start)
-    share[:, 1:] = np.where(bad.any(1)[:, None], bad / np.maximum(bad.sum(1), 1)[:, None] * start, (1 - start) / many)
-    own = np.arange(many)
-    right = np.zeros((1 + many, many, 3))
-    prior = np.zeros(1 + many)
+    hot = np.eye(3)[[[int(c) for c in x] for x in names]]  # patterns x labellers x votes
+    good, bad = hot[:, :, GOOD], hot[:, :, BAD]
+    many = hot.shape[1]
+    classes = 1 + (many if kinds else 1)
+    prior = np.empty((classes, many, 2))
+    prior[0], prior[1:] = ON_GOOD if kinds else ON_OTHER, ON_OTHER
+    if kinds:
+        prior[1 + np.arange(many), np.arange(many)] = ON_OWN
+    share = np.zeros((len(names), classes))  # of each class in each pattern
+    fired = bad.sum(1)
+    share[:, 0] = fired == 0
+    share[:, 1:] = bad / np.maximum(fired, 1)[:, None] if kinds else (fired > 0)[:, None]
     for _ in range(rounds):
         weight = share.T * n
-        right = np.einsum("cp,plk->clk", weight, hot) + 0.5
-        right[:, :, ABSTAIN] = 0
-        right /= right.sum(2, keepdims=True)
-        right[0, :, BAD] = np.minimum(right[0, :, BAD], false_alarm)
-        right[1 + own, own, BAD] = np.maximum(right[1 + own, own, BAD], catch)
-        right[:, :, GOOD] = 1 - right[:, :, BAD]
-        right[:, :, ABSTAIN] = 1
-        prior = np.maximum(weight.sum(1) / n.sum(), 1e-6)
-        log = np.einsum("plk,clk->pc", hot, np.log(right)) + np.log(prior)
+        yes, no = weight @ bad + prior[:, :, 1], weight @ good + prior[:, :, 0]
+        chance = yes / (yes + no)
+        size = weight.sum(1) + 0.1
+        log = bad @ np.log(chance).T + good @ np.log1p(-chance).T + np.log(size / size.sum())
         new = np.exp(log - log.max(1, keepdims=True))
         new /= new.sum(1, keepdims=True)
         moved, share = np.abs(new - share).max(), new
-        if moved < 1e-6:
+        if moved < 1e-7:
             break
-    return Weak(float(prior[0] / prior.sum()), right, dict(zip(names, share[:, 0].tolist(), strict=True)))
+    weight = np.stack([share[:, 0] * n, (1 - share[:, 0]) * n])
+    right = np.einsum("cp,plk->clk", weight, hot) / np.maximum(weight.sum(1), 1e-300)[:, None, None]
+    return Weak(float(weight[0].sum() / n.sum()), right, size / size.sum(), dict(zip(names, share[:, 0].tolist(), strict=True)))
+
+
+def accuracies(spark: SparkSession, weak: Weak) -> DataFrame:
+    """The confusion tables, a row for each labeller and class.
+
+    (labeller, class, abstains, votes_good, votes_bad, right): shares of the
+    class's texts, and of its votes on them the share that is right.
+    """
+    rows = []
+    for c, name in enumerate(("good", "bad")):
+        for k, labeller in enumerate(LABELLERS):
+            abstains, good, bad = (float(round(x, 6)) for x in weak.right[c, k])
+            rows.append((labeller, name, abstains, good, bad, round((good, bad)[c] / (good + bad), 6) if good + bad else None))
+    return spark.createDataFrame(rows, "labeller string, class string, abstains double, votes_good double, votes_bad double, right double")
 
 
 def hashed(texts: pa.Array, f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,17 +236,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([p.decode() for p in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["votes", "n"])
 
 
-def weak_labels(docs: DataFrame) -> Weak:
-    """Accuracies and posteriors from the votes of all rows."""
+def pattern_counts(docs: DataFrame) -> dict[str, int]:
+    """How many rows have each pattern of votes: at most 3 ** labellers patterns."""
     tune(docs.sparkSession)
     found = docs.select("text").mapInArrow(_count, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
-    return estimate({r["votes"]: r["n"] for r in found})
+    return {r["votes"]: r["n"] for r in found}
+
+
+def weak_labels(docs: DataFrame) -> Weak:
+    """Accuracies and posteriors from the votes of all rows."""
+    return estimate(pattern_counts(docs))
 
 
 def fit(docs: DataFrame, max_train_rows: int = 8_000) -> tuple[Weak, Scorer]:
     """Weak labels of all rows, and the scorer trained on about `max_train_rows`."""
-    weak = weak_labels(docs)
-    rows = docs.count()
+    counts = pattern_counts(docs)
+    weak, rows = estimate(counts), sum(counts.values())
     share = min(1.0, max_train_rows / max(rows, 1))
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(1 << 30))
     chosen = docs if share == 1 else docs.where(part < int(share * (1 << 30)))
@@ -257,7 +285,9 @@ def rate(docs: DataFrame, weak: Weak, scorer: Scorer, threshold: float = 0.4) ->
     """(doc_id, votes, weak_prob, score, keep) of every row of docs (doc_id, text).
 
     A null or empty text is rated like any other: it has no words, so `length`
-    votes bad. Repeated rows are each rated; an empty table gives none.
+    votes bad. A text of any length is rated by all of it, equal ones alike; a
+    score at the threshold is kept. Repeated rows are each rated; an empty table
+    gives none.
     """
     tune(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast((weak.posterior, scorer))  # patterns and buckets, both fixed in number

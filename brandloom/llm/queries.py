@@ -24,6 +24,11 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.describe(matroska.encode(read(spark, sf_dir, "documents")))
 
 
+def media_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet tables of op3's files."""
+    return matroska.packets(matroska.encode(read(spark, sf_dir, "documents")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,6 +45,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, *quality.fit(docs))
 
 
+def labeller_accuracies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 has learned of its labellers."""
+    return quality.accuracies(spark, quality.weak_labels(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).drop("url")
 
@@ -77,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_setsketch_dedup": op9_setsketch_dedup,
         "op10_licenses": op10_licenses,
+        "labeller_accuracies": labeller_accuracies,
+        "media_packets": media_packets,
     }
 
 

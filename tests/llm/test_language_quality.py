@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from brandloom.llm import language_id, quality
+from brandloom.llm.common import read
 from tests.llm.helpers import ODD, WORDS, documents, prose, row
 
 
@@ -148,22 +149,171 @@ def test_votes():
     assert v[0][0] == quality.BAD and v[1][0] == quality.GOOD and v[2][quality.LABELLERS.index("length")] == quality.BAD
 
 
-def test_estimate_finds_the_accuracies():
+def planted(r, chances, abstains, prior=0.75, n=30_000):
+    """Counts of votes of labellers with known chances of a bad vote, (good texts, bad texts)."""
+    bad = (r.random(n) > prior).astype(int)
+    fires = r.random((n, chances.shape[1])) < chances[bad]
+    v = np.where(r.random(fires.shape) < abstains[bad], 0, 1 + fires)
+    names, many = np.unique(quality._patterns(v.astype(np.int8)), return_counts=True)
+    return {k.decode(): int(m) for k, m in zip(names, many, strict=True)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("kinds", [False, True])
+def test_estimate_recovers_planted_accuracies(seed, kinds):
+    r = np.random.default_rng(seed)
+    # a mixture of kinds needs labellers that seldom cry wolf; two classes do without
+    chances = np.stack([r.uniform(0.001, 0.02 if kinds else 0.15, 9), r.uniform(0.3, 0.9, 9)])
+    abstains = r.uniform(0, 0.4, (2, 9))
+    weak = quality.estimate(planted(r, chances, abstains), kinds)
+    voted = weak.right[:, :, 1:].sum(2)
+    assert np.abs(weak.right[:, :, quality.BAD] / voted - chances).max() < 0.05
+    assert np.abs(weak.right[:, :, quality.ABSTAIN] - abstains).max() < 0.05 and abs(weak.prior - 0.75) < 0.02
+
+
+def test_estimate_with_kinds_that_never_meet():
     r = np.random.default_rng(1)
-    counts = {}
-    for _ in range(4000):
-        bad = r.random() < 0.2
-        kind = r.integers(3)
-        v = [(2 if kind == k else 1) if bad else 1 for k in range(3)] + [0 if r.random() < 0.5 else 1]
-        key = "".join(map(str, v)).ljust(9, "1")
-        counts[key] = counts.get(key, 0) + 1
-    weak = quality.estimate(counts)
-    assert 0.75 < weak.prior < 0.85
-    assert all((p < 0.5) == ("2" in k) for k, p in weak.posterior.items())
-    assert all(weak.right[1 + k, k, quality.BAD] >= 0.7 and weak.right[0, k, quality.BAD] < 0.01 for k in range(3))
+    n = 20_000
+    kind = np.where(r.random(n) < 0.2, r.integers(0, 3, n), 9)
+    fires = r.random((n, 9)) < np.where(kind[:, None] == np.arange(9), 0.95, 0.001)
+    names, many = np.unique(quality._patterns((1 + fires).astype(np.int8)), return_counts=True)
+    weak = quality.estimate({k.decode(): int(m) for k, m in zip(names, many, strict=True)})
+    assert all((p < 0.5) == ("2" in k[:3]) for k, p in weak.posterior.items() if k.count("2") < 2)
+    assert np.abs(weak.right[1, :3, quality.BAD] - 0.95 / 3).max() < 0.05 and weak.right[0, :, quality.BAD].max() < 0.01
+    clean = quality.estimate({"1" * 9: 1000, "011000001": 50})
+    assert min(clean.posterior.values()) > 0.99 and clean.prior > 0.99
     assert quality.estimate({}).posterior == {}
 
 
+def plain_estimate(counts, kinds):
+    """The same steps, a pattern, class and labeller at a time."""
+    many = len(next(iter(counts)))
+    classes = 1 + (many if kinds else 1)
+    prior = lambda c, k: quality.ON_OTHER if not kinds or c and c - 1 != k else quality.ON_OWN if c else quality.ON_GOOD
+    share = {}
+    for p in counts:
+        fired = [k for k in range(many) if p[k] == "2"]
+        share[p] = [float(not fired)] + [float(k in fired) / max(len(fired), 1) if kinds else float(bool(fired)) for k in range(classes - 1)]
+    for _ in range(300):
+        size, chance = [0.1] * classes, []
+        for c in range(classes):
+            size[c] += sum(n * share[p][c] for p, n in counts.items())
+            row = []
+            for k in range(many):
+                no, yes = prior(c, k)
+                yes += sum(n * share[p][c] for p, n in counts.items() if p[k] == "2")
+                no += sum(n * share[p][c] for p, n in counts.items() if p[k] == "1")
+                row.append(yes / (yes + no))
+            chance.append(row)
+        new = {}
+        for p in counts:
+            like = [math.log(size[c] / sum(size)) + sum(math.log(chance[c][k] if p[k] == "2" else 1 - chance[c][k]) for k in range(many) if p[k] != "0") for c in range(classes)]
+            e = [math.exp(x - max(like)) for x in like]
+            new[p] = [x / sum(e) for x in e]
+        moved = max(abs(a - b) for p in counts for a, b in zip(new[p], share[p], strict=True))
+        share = new
+        if moved < 1e-7:
+            break
+    return {p: x[0] for p, x in share.items()}
+
+
+@pytest.mark.parametrize("kinds", [False, True])
+def test_estimate_against_plain_steps(kinds):
+    r = random.Random(3)
+    counts = {"".join(r.choices("0112", k=9)): r.randint(1, 40) for _ in range(25)} | {"1" * 9: 500}
+    got, wanted = quality.estimate(counts, kinds).posterior, plain_estimate(counts, kinds)
+    assert got.keys() == wanted.keys() and all(abs(got[p] - wanted[p]) < 1e-6 for p in got)
+
+
+def plain_features(text):
+    b = text.encode()
+    words, lines = b.split(), [x for x in b.split(b"\n") if x]
+    count = lambda chars: sum(c in chars for c in b)
+    upper, lower = count(range(65, 91)), count(range(97, 123))
+    solid = sum(c not in b"\t\n\x0b\x0c\r " for c in b)
+    seen, again = set(), 0
+    for x in lines:
+        again += len(x) if x in seen else 0
+        seen.add(x)
+    part = lambda a, w: a / max(w, 1)
+    return {
+        "words": len(words), "upper": part(upper, upper + lower), "odd": part(count(b"#$%&*@^_~=+<>{}[]\\/|"), solid), "cells": part(count(b"|"), len(words)),
+        "stutter": part(sum(a == c for a, c in zip(words, words[1:], strict=False)), len(words) - 1), "endings": part(count(b".!?"), len(words)),
+        "variety": part(len(set(words)), len(words)), "again": part(again, sum(map(len, lines))), "letters": part(upper + lower + count(range(128, 256)), solid),
+    }
+
+
+def plain_votes(f):
+    n = f["words"]
+    rules = [
+        (n >= 5 and f["upper"] < 0.3, n >= 5 and f["upper"] > 0.5),
+        (f["odd"] < 0.03, n >= 10 and f["odd"] > 0.12),
+        (f["cells"] < 0.02, n >= 5 and f["cells"] > 0.2),
+        (n >= 5 and f["stutter"] < 0.05, n >= 5 and f["stutter"] > 0.3),
+        (n >= 5 and 0.02 < f["endings"] < 0.35, n >= 40 and f["endings"] < 0.005 or n >= 10 and f["endings"] > 0.8),
+        (n >= 20, n == 0),
+        (n >= 5 and f["variety"] > 0.3, 40 <= n < 1000 and f["variety"] < 0.12),
+        (n >= 5 and f["again"] < 0.2, n >= 5 and f["again"] > 0.6),
+        (f["letters"] > 0.85, n >= 20 and f["letters"] < 0.6 or n > 0 and f["letters"] < 0.2),
+    ]
+    return "".join("2" if bad else "1" if good else "0" for good, bad in rules)
+
+
+def plain_row(text):
+    """Hashed features of one text: bigrams of bytes by their share, steps of its figures."""
+    b = [128 if c >= 128 else c for c in text.encode()]
+    out = {}
+    for x, y in zip(b, b[1:], strict=False):
+        k = (x * 129 + y) % 4093
+        out[k] = out.get(k, 0) + 1
+    out = {k: math.sqrt(n / max(len(b), 1)) for k, n in out.items()}
+    f = plain_features(text)
+    for k, name in enumerate(sorted(f)):
+        step = int(min(math.log2(1 + f[name]) if name == "words" else f[name] * 10, 15)) + 1000 * (k + 1)
+        at = 4096 + int(quality.mix(np.array([step], np.uint64))[0]) % (quality.BUCKETS - 4096)
+        out[at] = out.get(at, 0) + 0.5
+    return out
+
+
+def plain_scores(texts, rounds=200):
+    rows = [plain_row(t) for t in texts]
+    patterns = [plain_votes(plain_features(t)) for t in texts]
+    counts = {p: patterns.count(p) for p in patterns}
+    weak = plain_estimate(counts, True)
+    target = np.array([weak[p] for p in patterns])
+    x = np.zeros((len(texts), quality.BUCKETS))
+    for i, r in enumerate(rows):
+        for k, v in r.items():
+            x[i, k] = v
+    w, bias, pull, pull_b = np.zeros(quality.BUCKETS), 0.0, np.zeros(quality.BUCKETS), 0.0
+    for _ in range(rounds):
+        off = 1 / (1 + np.exp(-(x @ w + bias))) - target
+        pull = 0.9 * pull + x.T @ off / len(texts) + 1e-4 * w
+        pull_b = 0.9 * pull_b + off.mean()
+        w, bias = w - 2.0 * pull, bias - 0.4 * pull_b
+    return patterns, target, 1 / (1 + np.exp(-(x @ w + bias)))
+
+
+def test_the_query_against_a_plain_version(spark):
+    docs = read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").orderBy("doc_id")
+    rows = docs.collect()
+    patterns, target, score = plain_scores([r["text"] or "" for r in rows])
+    got = {r["doc_id"]: r for r in quality.rate(docs, *quality.fit(docs)).collect()}
+    for r, p, t, s in zip(rows, patterns, target, score, strict=True):
+        mine = got[r["doc_id"]]
+        assert mine["votes"] == p and abs(mine["weak_prob"] - t) < 1e-5 and abs(mine["score"] - s) < 1e-3 and mine["keep"] == (mine["score"] >= 0.4)
+
+
+def test_accuracies_are_a_result(spark):
+    docs = documents(spark, [x for x, _ in labelled()])
+    rows = quality.accuracies(spark, quality.weak_labels(docs)).collect()
+    assert len(rows) == 2 * len(quality.LABELLERS) and all(abs(r["abstains"] + r["votes_good"] + r["votes_bad"] - 1) < 1e-4 for r in rows)
+    assert all(r["right"] is None or r["right"] > 0.9 for r in rows if r["class"] == "good")
+    clash = spark.createDataFrame([(1, "a text", 0.1, "x", True)], "doc_id long, text string, score double, votes string, keep boolean")
+    assert quality.rate(clash, *quality.fit(clash)).count() == 1 and quality.keep_good(clash).columns == clash.columns
+    assert language_id.predict(clash.withColumn("lang_pred", quality.F.lit("x")), language_id.fit(documents(spark, corpus()))).count() == 1
+
+
 def test_scorer(spark):
     rows = labelled()
     docs = documents(spark, [x for x, _ in rows])
