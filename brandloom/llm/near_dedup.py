@@ -2,56 +2,50 @@
 
 1. Every text becomes its set of word shingles and a SetSketch of it; texts
    with the very same set are one from here on.
-2. Documents that agree in a band of registers are candidates. Each points to
-   the least document of its bucket, and the connected components of those
-   pointers are the candidate groups: any two documents that share a bucket
-   are in one group. A group beyond `most` members is searched bucket by bucket
-   instead, so no chance chain of buckets can make a group without bound.
-3. A group is dealt out in pairs of blocks of BLOCK documents, one task each.
-   There the joint likelihood of two sketches and the two set sizes gives an
-   estimate of the similarity; pairs that may reach the threshold are then
-   confirmed on their full sets. A task returns no pairs but a spanning forest
-   of the confirmed links, at most one edge a document.
-4. Connected components of those edges are the result.
+2. Documents that agree in a band of registers share a bucket. Each is held
+   against the least document of each of its buckets, its hub: the joint
+   likelihood of the two sketches and the two set sizes estimates their
+   similarity, and pairs that may reach the threshold are confirmed on their
+   full sets, first every document's likeliest hub, then the hubs that are not
+   yet in the document's component. A group of near copies is done here, with a
+   few rows a document.
+3. A bucket whose documents are now in one component has nothing left to find.
+   In the others, the documents outside the bucket's largest component are held
+   against all of it, in pairs of blocks of BLOCK documents, one task each:
+   first by sketches alone, then those that found a likely partner by their
+   full sets. Pairs within a component, with the hub, or that an earlier band
+   has already brought together are passed over. A task returns no pairs but a
+   spanning forest of the confirmed links, at most one edge a document.
+4. Connected components of all confirmed links are the result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandloom.llm.common import raw, slices, stage, tune
 from brandloom.llm.components import components
 from brandloom.llm.setsketch import BANDS, REGISTERS, ROWS, likely_jaccard, shingles, sketches
-from brandloom.llm.wordhash import mix
 
-#: Estimates this far under the threshold go no further: over four standard
-#: deviations of an estimate from REGISTERS registers.
-DOUBT = 0.12
+#: Estimates this far under the threshold go no further. At a similarity of 0.8 an estimate
+#: from REGISTERS registers has a standard deviation of 0.026, so a link is lost here
+#: with a chance under one in 10 ** 8, far less often than by sharing no band.
+DOUBT = 0.15
 BLOCK = 256
-#: Documents of a group that is searched as a whole.
-MOST = 16_384
 #: Columns of a membership matrix at a time.
 WIDTH = 8192
 
-_U = np.uint64
 
-
-def digests(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit digests of each set, the same for equal sets."""
-    out = []
-    with np.errstate(over="ignore"):
-        for seed in (0x1B873593CC9E2D51, 0x38495AB5A3C59AC3):
-            sums = np.zeros(rows, np.uint64)
-            if len(row):
-                at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                sums[row[at]] = np.add.reduceat(mix(mix(hashes ^ _U(seed)) + _U(seed)), at)
-            out.append(mix(sums).view(np.int64))
-    return out[0], out[1]
+def digests(row: np.ndarray, hashes: np.ndarray, rows: int) -> list[bytes]:
+    """A 128-bit digest of each set, which comes sorted."""
+    ends = np.cumsum(np.bincount(row, minlength=rows)).tolist()
+    return [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True)] if rows else []
 
 
 def _sketched(size: int):
@@ -60,11 +54,10 @@ def _sketched(size: int):
             for part, texts in slices(batch, "text", 1 << 20):
                 row, hashes = shingles(*raw(texts), size)
                 n = np.bincount(row, minlength=len(texts))
-                one, two = digests(row, hashes, len(texts))
                 stored = sketches(row, hashes, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in stored], pa.binary())],
-                    ["doc_id", "n", "d1", "d2", "sketch"],
+                    [part.column("doc_id"), pa.array(n), pa.array(digests(row, hashes, len(texts)), pa.binary()), pa.array([x.tobytes() for x in stored], pa.binary())],
+                    ["doc_id", "n", "digest", "sketch"],
                 )
 
     return run
@@ -117,121 +110,209 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _linked(n_a, sketch_a, sets_a, n_b, sketch_b, sets_b, percent: int) -> np.ndarray:
-    """Which documents of a and of b are linked, by estimate and then by their sets."""
-    out = np.zeros((len(n_a), len(n_b)), bool)
-    small, large = np.minimum.outer(n_a, n_b), np.maximum.outer(n_a, n_b)
-    i, j = np.nonzero(100 * small >= percent * large)
-    if not len(i):
-        return out
-    step = 1 << 15
-    likely = np.concatenate([likely_jaccard(sketch_a[i[k : k + step]], sketch_b[j[k : k + step]], n_a[i[k : k + step]].astype(float), n_b[j[k : k + step]].astype(float)) for k in range(0, len(i), step)])
-    fine = likely >= percent / 100 - DOUBT
-    i, j = i[fine], j[fine]
-    if not len(i):
-        return out
-    rows, cols = np.unique(i), np.unique(j)
-    both = overlaps([sets_a[k] for k in rows], [sets_b[k] for k in cols])
-    shared = both[np.searchsorted(rows, i), np.searchsorted(cols, j)]
-    out[i, j] = 100 * shared >= percent * (n_a[i] + n_b[j] - shared)
-    return out
-
-
-def _block_edges(rows: pa.Table, percent: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links within one pair of blocks."""
-    ids = rows.column("id").to_numpy()
-    n = rows.column("n").to_numpy().astype(np.int64)
-    side = rows.column("side").to_numpy()
-    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
-    own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a, b = (own, other) if len(other) else (own, own)
-    part = lambda x: (n[x], sketch[x], [sets[k] for k in x])
-    found = _linked(*part(a), *part(b), percent)
-    linked = np.zeros((len(ids), len(ids)), bool)
-    linked[np.ix_(a, b)] = found
-    linked |= linked.T
-    root = forest(linked)
-    at = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[at].tolist(), ids[root[at]].tolist()
+def _sketches_of(column: pa.Array) -> np.ndarray:
+    return raw(column)[0].reshape(-1, REGISTERS)
 
 
-def _search_blocks(percent: int):
-    """Runs of rows with one (grp, i, j), which come sorted, are pairs of blocks."""
+def _likely(percent: int):
+    """Pairs (a, b) whose sizes and likelihood allow a link, with the estimate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            fine = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+            batch, n_a, n_b = batch.filter(pa.array(fine)), n_a[fine], n_b[fine]
+            likely = likely_jaccard(_sketches_of(batch.column("s_a")), _sketches_of(batch.column("s_b")), n_a.astype(float), n_b.astype(float))
+            fine = pa.array(likely >= percent / 100 - DOUBT)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(fine), batch.column("b").filter(fine), pa.array(likely).filter(fine)], ["a", "b", "likely"])
+
+    return run
 
-        def done() -> pa.RecordBatch:
-            a, b = _block_edges(pa.Table.from_batches(held), percent)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+def _confirmed(percent: int):
+    """The pairs (a, b) whose full sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("grp", "i", "j")], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                now = tuple(keys[lo])
-                if key is not None and now != key:
-                    yield done()
-                    held.clear()
-                key = now
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield done()
+            fine = []
+            for x, y in zip(batch.column("m_a"), batch.column("m_b"), strict=True):
+                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                fine.append(100 * shared >= percent * (len(one) + len(two) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    return run
+
+
+class _Block:
+    """The documents of one pair of blocks of a bucket."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids = rows.column("id").to_numpy()
+        self.n = rows.column("n").to_numpy().astype(np.int64)
+        self.component = rows.column("component").to_numpy()
+        self.side = rows.column("side").to_numpy()
+        self.hub = rows.column("hub")[0].as_py()
+        self.band = rows.column("place")[0].as_py()
+        self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows to be confirmed: of both sides, or within the only side."""
+        own, other = np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1)
+        two = len(other) > 0
+        i, j = np.nonzero(np.ones((len(own), len(other)), bool)) if two else np.triu_indices(len(own), 1)
+        i, j = own[i], (other if two else own)[j]
+        n = self.n
+        fine = (self.component[i] != self.component[j]) & (self.ids[i] != self.hub) & (self.ids[j] != self.hub)
+        fine &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        i, j = i[fine], j[fine]
+        for b in range(self.band):  # an earlier band holds these two together
+            if not len(i):
+                break
+            part = self.sketch[:, b * ROWS : (b + 1) * ROWS]
+            new = (part[i] != part[j]).any(1)
+            i, j = i[new], j[new]
+        step = 1 << 15
+        fine = [likely_jaccard(self.sketch[i[k : k + step]], self.sketch[j[k : k + step]], n[i[k : k + step]].astype(float), n[j[k : k + step]].astype(float)) >= percent / 100 - DOUBT for k in range(0, len(i), step)]
+        fine = np.concatenate(fine) if fine else np.zeros(0, bool)
+        return i[fine], j[fine]
+
+
+_KEY = ["band", "i", "j"]
+_ROW = "band long, i int, j int, side int, place int, hub long, id long, component long, n long, sketch binary"
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with one key, which come sorted."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in _KEY], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            now = tuple(keys[lo])
+            if held and now != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _promising(percent: int):
+    """The rows of each pair of blocks that have a likely partner there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks_of(batches):
+            i, j = _Block(rows).pairs(percent)
+            if len(i):
+                yield from rows.take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
+
+    return run
+
+
+def _search_blocks(percent: int):
+    """A spanning forest of the links within each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks_of(batches):
+            block = _Block(rows)
+            i, j = block.pairs(percent)
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
+            left, right = np.unique(i), np.unique(j)
+            both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+            shared = both[np.searchsorted(left, i), np.searchsorted(right, j)]
+            fine = 100 * shared >= percent * (block.n[i] + block.n[j] - shared)
+            linked = np.zeros((len(sets), len(sets)), bool)
+            linked[i[fine], j[fine]] = True
+            root = forest(linked | linked.T)
+            at = np.flatnonzero(root != np.arange(len(sets)))
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids[at]), pa.array(block.ids[root[at]])], ["a", "b"])
 
     return run
 
 
-def groups(docs: DataFrame, percent: int = 80, size: int = 5, most: int = MOST, block: int = BLOCK) -> DataFrame:
+def _deal(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of buckets (band, id, large, k_large, k_rest) to pairs of blocks (i, j), side 0 or 1.
+
+    A small bucket is one block. Of others, the rest is dealt out in blocks,
+    numbered from 0, and the largest component in blocks behind them. Every
+    block of the rest meets every other and every block of that component, but
+    the component's blocks don't meet each other.
+    """
+    rest, large = F.ceil(F.col("k_rest") / block).cast("int"), F.ceil(F.col("k_large") / block).cast("int")
+    small = F.col("k_rest") + F.col("k_large") <= block
+    mine = F.when(F.col("large"), rest + F.pmod(F.xxhash64("id"), large).cast("int")).otherwise(F.pmod(F.xxhash64("id"), rest).cast("int"))
+    others = F.when(F.col("large"), F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(F.lit(0), rest + large - 1))
+    dealt = rows.withColumn("mine", F.when(small, 0).otherwise(mine)).withColumn("other", F.explode(F.when(small, F.array(F.lit(0))).otherwise(others)))
+    return dealt.select(
+        "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "place", "hub", "id", "component"
+    )
+
+
+def _component(found: DataFrame, column: str, name: str) -> DataFrame:
+    return found.select(F.col("id").alias(column), F.col("component").alias(name))
+
+
+def _at(name: str, column: str) -> Column:
+    return F.coalesce(F.col(name), F.col(column))
+
+
+def groups(docs: DataFrame, percent: int = 80, size: int = 5, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
     Rows with the same set, or whose sets of `size`-word shingles share at
     least `percent` of their union, are linked; component_id is the least
     doc_id reachable and kept tells whether it is the row's own. A null or
-    empty text has no set and stays alone. Repeated rows get equal results. A
-    row without doc_id counts in no group: its component_id is null.
+    empty text has no set and stays alone; a text of any length has its whole
+    set. Repeated rows get equal results; of rows with one doc_id and different
+    texts, one text counts. A row without doc_id counts in no group: its
+    component_id is null. An empty table gives no rows.
     """
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    drawn = stage(docs.mapInArrow(_sketched(size), "doc_id long, n long, d1 long, d2 long, sketch binary"), "sketches")
+    drawn = stage(docs.mapInArrow(_sketched(size), "doc_id long, n long, digest binary, sketch binary"), "sketches")
     # Aggregates that a join follows are staged, so that both sides of the join come
     # from plain shuffles and Spark can split the partition of a key with many rows.
-    same = drawn.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 AND first IS NOT NULL").select("d1", "d2", "first")
-    copies = drawn.join(stage(same, "copies"), ["d1", "d2"], "left")
+    same = drawn.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 AND first IS NOT NULL").select("digest", "first")
+    copies = drawn.join(stage(same, "copies"), "digest", "left")
     # every row and the least document with the very same set, which alone keeps the sketch
     rep = F.when(F.col("n") > 0, F.coalesce("first", "doc_id"))
     rows = stage(copies.select("doc_id", "n", rep.alias("rep"), "sketch").withColumn("sketch", F.expr("IF(doc_id = rep, sketch, NULL)")), "rows")
     sets = rows.where("doc_id = rep AND n > 0").select(F.col("rep").alias("id"), "n", "sketch")
     bands = sets.select(
         "id",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS)), i))).alias("band"),
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS)), i))).alias("place", "band"),
     )
-    hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("band", "hub")
-    pointers = stage(bands.join(stage(hubs, "hubs"), "band").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pointers")
-    near = stage(components(pointers), "near")
-    sizes = stage(near.groupBy("component").agg(F.count(F.lit(1)).alias("k")), "sizes")
-    member = near.join(sizes, "component")
-    grouped = member.where(F.col("k") <= most).select(F.col("component").alias("grp"), "id", "k")
-    if not sizes.where(F.col("k") > most).isEmpty():
-        large = bands.join(member.where(F.col("k") > most).select("id"), "id").select("band", "id").distinct()
-        counted = large.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        grouped = grouped.union(large.join(counted, "band").select(F.col("band").alias("grp"), "id", "k"))
-    blocks = F.ceil(F.col("k") / block).cast("int")
-    dealt = grouped.select("grp", "id", blocks.alias("n_blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("mine")).select(
-        "grp", "id", "mine", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    )
-    dealt = dealt.select("id", "grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    wanted = near.select(F.col("id").alias("doc_id"))
-    members = stage(
-        docs.join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(size), "id long, members binary").join(sets, "id").dropDuplicates(["id"]),
-        "sets",
-    )
-    searched = dealt.join(members, "id").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "id")
-    edges = stage(searched.select("grp", "i", "j", "side", "id", "n", "sketch", "members").mapInArrow(_search_blocks(percent), "a long, b long").distinct(), "links")
-    found = stage(components(edges), "found")
+    hubs = stage(bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("k")).where("hub <> last").select("band", "hub", "k"), "hubs")
+    pointers = stage(bands.join(hubs, "band").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pointers")
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    candidates = stage(pointers.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_likely(percent), "a long, b long, likely double"), "candidates")
+
+    members = _members(docs, candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")), size)
+    best = stage(candidates.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b")), "best")
+    found = stage(components(_confirm(best, members, percent)), "first")
+    apart = candidates.join(_component(found, "a", "c_a"), "a", "left").join(_component(found, "b", "c_b"), "b", "left").where(_at("c_a", "a") != _at("c_b", "b")).select("a", "b")
+    found = _joined(found, _confirm(apart.join(best, ["a", "b"], "left_anti"), members, percent), "second")
+
+    # buckets of three or more documents in two or more components
+    held = bands.join(hubs.where("k > 2"), "band").join(_component(found, "id", "c"), "id", "left").select("band", "place", "hub", "id", _at("c", "id").alias("component"))
+    held = stage(held, "held")
+    parts = held.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
+    open_ = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", -F.col("component"))).alias("most"), F.sum("k").alias("k")).where("parts > 1")
+    open_ = stage(open_.select("band", (-F.col("most.col2")).alias("main"), F.col("most.k").alias("k_large"), (F.col("k") - F.col("most.k")).alias("k_rest")), "open")
+    dealt = _deal(held.join(open_, "band").withColumn("large", F.col("component") == F.col("main")), block).join(sets, "id")
+    ordered = lambda df: df.repartition(*_KEY).sortWithinPartitions(*_KEY, "side", "id")
+    fields = [x.split()[0] for x in _ROW.split(", ")]
+    promising = stage(ordered(dealt.select(*fields)).mapInArrow(_promising(percent), _ROW), "promising")
+    if not promising.isEmpty():
+        members = _members(docs, promising.select(F.col("id").alias("doc_id")), size)
+        searched = ordered(promising.join(members, "id").select(*fields, "members"))
+        found = _joined(found, stage(searched.mapInArrow(_search_blocks(percent), "a long, b long").distinct(), "links"), "third")
+
     out = rows.join(found, rows["rep"] == found["id"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select(
@@ -242,6 +323,26 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5, most: int = MOST,
     )
 
 
+def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(id, members): the full sets of the wanted documents, one for each id."""
+    ids = stage(wanted.distinct(), "wanted")
+    made = docs.join(ids.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(size), "id long, members binary")
+    return stage(made.dropDuplicates(["id"]), "sets")
+
+
+def _confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their full sets link."""
+    side = lambda x: members.select(F.col("id").alias(x), F.col("members").alias(f"m_{x}"))
+    return stage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "m_a", "m_b").mapInArrow(_confirmed(percent), "a long, b long"), "confirmed")
+
+
+def _joined(found: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """Components with further links."""
+    if links.isEmpty():
+        return found
+    return stage(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b"))), label)
+
+
 def keep_first(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of documents that stay: of each group that with the least doc_id.
 

@@ -19,18 +19,15 @@ from brandloom.llm.wordhash import LOWER, SPACE, mix, words
 ROWS, BANDS = 6, 40
 REGISTERS = 241
 BASE, RATE = 1.1, 20.0
-HASH_BITS = 48
 
 _U = np.uint64
-_MASK = _U((1 << HASH_BITS) - 1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word shingles of each text: (row, 48-bit hash), sorted by both.
+    """Distinct word shingles of each text: (row, 64-bit hash), sorted by both.
 
     Words are lower-cased (A-Z) runs between ASCII white space. A text of
     fewer than `size` words, but not none, has one shingle: all its words.
-    At most 65,536 texts at a time.
     """
     w = words(LOWER[data], offsets, SPACE)
     if not len(w.hashes):
@@ -45,9 +42,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 2) -> tuple[np.n
             there = starts[length[starts] > k]
             step = mix(h[length[starts] > k] * _U(0x9E3779B97F4A7C15) + w.hashes[there + k])
             h[length[starts] > k] = step
-    key = np.sort((w.row[starts].astype(np.uint64) << _U(HASH_BITS)) | (h & _MASK))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return (key >> _U(HASH_BITS)).astype(np.int64), key & _MASK
+    row = w.row[starts]
+    ends = np.cumsum(np.bincount(row, minlength=len(offsets) - 1)).tolist()
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return row[new], h[new]
 
 
 def sketches(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:

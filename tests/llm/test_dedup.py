@@ -60,10 +60,11 @@ def test_equal_to_brute_force(spark, size):
     assert len({x[1] for x in got.values()}) < len(got)
 
 
-def test_large_groups_go_bucket_by_bucket(spark):
+@pytest.mark.parametrize("block", [1, 2, 4])
+def test_buckets_of_many_blocks(spark, block):
     rows = copies(5, families=5, most=30)
     label, sets = plain_groups(rows, 2)
-    got = as_dict(near_dedup.groups(documents(spark, rows), size=2, most=8, block=4))
+    got = as_dict(near_dedup.groups(documents(spark, rows), size=2, block=block))
     assert got == {i: (len(sets[i]), label[i], label[i] == i) for i in label}
 
 
