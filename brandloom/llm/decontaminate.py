@@ -5,31 +5,40 @@ strings with one character per word, and so does every text: the automaton
 then reads each text once, a match's position is a word's position, and word
 positions lead back to offsets in the original text.
 
-The benchmark is read in blocks of at most `BLOCK_BYTES` of text, so the
-automaton's size has a bound; with more than one block the documents pass each
-block in turn, through a staged table that carries the hits found so far.
+The benchmark's words lie in the shared folder, in blocks of about `BLOCK_BYTES`;
+very long items are cut into pieces that overlap by a window less a word, so
+nothing that could match is cut. With one block a worker builds the automaton
+once. With more, so that its size has a bound, a task takes some texts at a
+time and runs every block's automaton over them before it goes on: the
+documents are read once, and nothing is written between blocks.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from brandloom.llm.common import raw, slices, stage, tune
+from brandloom.llm.common import new_path, raw, slices, tune
 
 WINDOW = 10
 #: Of benchmark text in one automaton: about 100 bytes of nodes a byte.
 BLOCK_BYTES = 1 << 20
+#: Texts that a task holds while it runs several blocks over them.
+HOLD_BYTES = 24 << 20
+#: Words of an item in one piece.
+PIECE = 1 << 14
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_built: dict[str, tuple] = {}
+_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_built: dict[tuple, Matcher] = {}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -93,90 +102,102 @@ class Matcher:
         return len(w), merged(ranges) if ranges else [], items
 
 
-def matcher(items: list[tuple[str, str]], window: int) -> Matcher:
-    """The automaton of these items, built once in each Python worker."""
-    key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
+def matcher(folder: str, block: int, window: int) -> Matcher:
+    """The automaton of a block of items; a Python worker holds the last one it needed."""
+    key = (folder, block, window)
     if key not in _built:
         _built.clear()
-        _built[key] = Matcher(items, window)
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        found = fs.get_file_info(pyarrow.fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
+        tables = [pyarrow.parquet.read_table(x.path, filesystem=fs, columns=["item", "words"], partitioning=None) for x in sorted(found, key=lambda x: x.path) if x.path.endswith(".parquet")]
+        _built[key] = Matcher(sorted((i, w) for t in tables for i, w in zip(t.column("item").to_pylist(), t.column("words").to_pylist(), strict=True)), window)
     return _built[key]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    # an item longer than a block would make its own block; windows don't cross items
-    items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = -(-size // block_bytes) or 1
-    for k in range(n):
-        mine = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield sorted((r["item"], r["text"]) for r in mine.collect())
+def write_items(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> tuple[str, int]:
+    """Write the benchmark's words (item, words) to the shared folder by block; the folder and the number of blocks.
 
-
-_HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
-_KEPT = "_ranges array<struct<start:int,end:int>>"
+    An item's pieces have `piece` words at most, each but the last with all
+    windows that start before the next one's first word. Repeated items stand
+    once, so a block has about `block_bytes` and a piece at most.
+    """
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(F.regexp_replace(lower, _SEPARATORS, " "), " "), lambda w: w != "")
+    piece = max(piece, window)
+    step = piece - window + 1
+    items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words.alias("w")).where("size(w) > 0")
+    last = F.greatest(F.ceil((F.size("w") - F.lit(window - 1)) / step).cast("int"), F.lit(1)) - 1
+    pieces = items.select("item", F.explode(F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice("w", k * step + 1, F.lit(piece)), " "))).alias("words")).distinct()
+    size = pieces.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
+    blocks = -(-size // block_bytes) or 1
+    folder = new_path(benchmark.sparkSession, "items")
+    numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int"))
+    numbered.repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, blocks
 
 
-def _pairs(column: list) -> list[list[tuple[int, int]]]:
-    return [[(r["start"], r["end"]) for r in x] for x in column]
+_HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
-def _scan(shared, window: int, first: bool, last: bool, names: list[str]):
-    """One pass over the batches; hits of earlier blocks come in with the rows."""
+def _scan(folder: str, blocks: int, window: int, hold: int, names: list[str]):
+    def done(held: list[tuple], order: list[int]) -> Iterator[pa.RecordBatch]:
+        """Rows of the held slices, by every block in this order."""
+        state = []
+        for _, texts in held:
+            data, offsets = raw(texts)
+            at = offsets.tolist()
+            state.append((data.tobytes(), at, [0] * (len(at) - 1), [[] for _ in at[1:]], [set() for _ in at[1:]]))
+        for block in order:
+            found = matcher(folder, block, window)
+            for whole, at, n_words, ranges, items in state:
+                for i in range(len(at) - 1):
+                    n_words[i], hits, ids = found.scan(whole[at[i] : at[i + 1]])
+                    if hits:
+                        ranges[i] = merged(ranges[i] + hits) if ranges[i] else hits
+                        items[i] |= ids
+        struct = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for (part, _), (whole, at, n_words, ranges, items) in zip(held, state, strict=True):
+            spans = [spans_of(whole[at[i] : at[i + 1]].decode(), r) for i, r in enumerate(ranges)]
+            n_hit = [sum(b - a for a, b in r) for r in ranges]
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in names), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, struct)],
+                [*names, "n_words", "n_hit", "items", "spans"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = matcher(shared.value, window)
+        held, size, order = [], 0, list(range(blocks))
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                data, offsets = raw(texts)
-                whole, at = data.tobytes(), offsets.tolist()
-                before = [[] for _ in at[1:]] if first else _pairs(part.column("_ranges").to_pylist())
-                owned = [[] for _ in at[1:]] if first else part.column("items").to_pylist()
-                n_words, n_hit, items, ranges, spans = [], [], [], [], []
-                for i in range(len(at) - 1):
-                    text = whole[at[i] : at[i + 1]]
-                    n, hits, ids = found.scan(text)
-                    hits = merged(before[i] + hits) if before[i] else hits
-                    n_words.append(n)
-                    n_hit.append(sum(b - a for a, b in hits))
-                    items.append(sorted(ids.union(owned[i])))
-                    ranges.append([{"start": a, "end": b} for a, b in hits])
-                    spans.append(spans_of(text.decode(), hits) if last else [])
-                struct = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, struct), pa.array(ranges, struct)],
-                    [*names, "n_words", "n_hit", "items", "spans", "_ranges"],
-                )
+                held.append((part, texts))
+                size += texts.nbytes
+                if blocks == 1 or size >= hold:
+                    yield from done(held, order)
+                    held, size = [], 0
+                    order.reverse()  # the block at hand comes first next time
+        yield from done(held, order)
 
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, hold_bytes: int = HOLD_BYTES) -> DataFrame:
     """`docs` (with a text) plus what of `benchmark` (item_id, text) occurs in it.
 
     Added: n_words long, n_hit long (words inside any occurrence), items
     array<string> (sorted ids), spans array<struct<start,end>> (code points of
     the original text). Null and empty texts have no words, hence no hits; null
-    items are skipped and an empty benchmark hits nothing. Repeated rows are
-    each scanned. An added column takes the place of one of `docs` with its name.
+    items are skipped and an empty benchmark hits nothing; a null item_id is an
+    empty one. Texts and items of any length are read whole. Repeated rows are
+    each scanned; an empty table gives no rows. An added column takes the place
+    of one of `docs` with its name.
     """
-    spark = tune(docs.sparkSession)
+    tune(docs.sparkSession)
     docs = docs.drop(*_clashing(docs))
-    names = docs.columns
-    added = StructType.fromDDL(f"{_HITS}, {_KEPT}").fields
-    schema = StructType([*docs.schema.fields, *added])
-    blocks = _blocks(benchmark, block_bytes)
-    out, items, first = docs, next(blocks), True
-    while items is not None:
-        following = next(blocks, None)
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(items), window, first, following is None, names), schema)
-        if following is not None:
-            out = stage(out, "hits")
-        items, first = following, False
-    return out.drop("_ranges")
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(_HITS).fields])
+    return docs.mapInArrow(_scan(*write_items(benchmark, window, block_bytes), window, hold_bytes, docs.columns), schema)
 
 
 def _clashing(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c.lower() in ("n_words", "n_hit", "items", "spans", "_ranges")]
+    return [c for c in docs.columns if c.lower() in ("n_words", "n_hit", "items", "spans")]
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

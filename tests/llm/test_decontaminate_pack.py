@@ -54,10 +54,10 @@ def tables(spark, items=ITEMS, texts=TEXTS):
     return documents(spark, [row(100 + i, t) for i, t in enumerate(texts)] + ODD), spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_scan_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block,hold", [(1 << 20, 1 << 20), (40, 1 << 20), (40, 100), (7, 1)])
+def test_scan_equals_brute_force(spark, block, hold):
     docs, benchmark = tables(spark)
-    got = decontaminate.scan(docs, benchmark, block_bytes=block).collect()
+    got = decontaminate.scan(docs, benchmark, block_bytes=block, hold_bytes=hold).collect()
     assert len(got) == len(TEXTS) + len(ODD)
     for r in got:
         assert (r["n_words"], r["n_hit"], r["items"]) == plain_scan(r["text"], ITEMS)
@@ -80,6 +80,30 @@ def test_clean_documents_stay(spark):
     assert again.columns == clash.columns and {x["N_hit"] for x in again.collect()} == {"src"}
 
 
+def test_one_pass_for_many_blocks(spark):
+    r = random.Random(8)
+    items = [(k, " ".join(f"w{r.randrange(300)}" for _ in range(r.randint(5, 60)))) for k in range(200)]
+    texts = [" ".join(f"w{r.randrange(300)}" for _ in range(50)) + " " + (items[r.randrange(200)][1] if k % 2 else "") for k in range(60)]
+    docs, benchmark = tables(spark, items, texts)
+    assert decontaminate.write_items(benchmark, block_bytes=500)[1] > 20
+    found = decontaminate.scan(docs, benchmark, block_bytes=500, hold_bytes=5000)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for x in found.collect():
+        assert (x["n_words"], x["n_hit"], x["items"]) == plain_scan(x["text"], items)
+
+
+def test_long_and_repeated_items(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(50_000)}" for _ in range(5000)]
+    benchmark = spark.createDataFrame([(1, " ".join(words))] * 50 + [(2, " ".join(words[40:47])), (None, "one two three")], "item_id long, text string")
+    for piece in (10, 11, 64, 4991, 5000, 1 << 14):
+        folder, blocks = decontaminate.write_items(benchmark, piece=piece)
+        items = [(x["item"], x["words"].split()) for x in spark.read.parquet(folder).collect()]
+        long = [w for i, w in items if i == "1"]
+        assert {tuple(w[i : i + 10]) for w in long for i in range(len(w) - 9)} == {tuple(words[i : i + 10]) for i in range(len(words) - 9)}
+        assert all(10 <= len(w) <= max(piece, 10) for w in long) and sum(map(len, long)) < 11 * len(words) and blocks == 1 and ("", ["one", "two", "three"]) in items
+
+
 def lower_bound(lengths, capacity):
     return -(-sum(lengths) // capacity)
 
