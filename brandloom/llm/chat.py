@@ -5,9 +5,10 @@ that speaker as the assistant and all others as named users. Each turn becomes
 one segment; character offsets place it in the rendering, and a mask tells
 which characters are trained on: the speaker's own words and their end mark.
 
-A conversation of any length is spread over blocks of BLOCK turn numbers:
-positions and offsets are counted inside each block first, the block totals
-are summed over the conversation, and both are added.
+The turns are dealt to tasks by ranges of their order, so a conversation of any
+length, or with any number of turns without a number or with the same one, is
+spread: positions and offsets are counted inside each range first, the totals
+of the ranges are summed over the conversation, and both are added.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brandloom.llm.common import stage
+
 OPEN, END = "<|im_start|>", "<|im_end|>\n"
-BLOCK = 64
+#: Characters of a text that ranges go by; bounds the sample that Spark takes of the order.
+PREFIX = 32
 #: Speakers that are rendered as themselves in every view and have none of their own.
 NARRATORS = ("system",)
 NOBODY = "unknown"
@@ -27,7 +31,7 @@ def _header(speaker: Column, view: Column) -> Column:
     return F.concat(F.lit(OPEN), who, F.lit("\n"))
 
 
-def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+def rotate(turns: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row per turn and perspective of turns (conv_id, turn, role, text).
 
     Result: conv_id, perspective, seq (from 0, by turn, role, text; null turns
@@ -36,7 +40,13 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     where nothing is trained on). `role` is the speaker; a null or empty one is
     "unknown" and a null text is empty. A repeated turn stays, as a turn of its
     own. Null conv_ids are one conversation. A conversation with narrators
-    only has no participant and gives no row, as does an empty table.
+    only has no participant and gives no row, as does an empty table. Texts of
+    any length are rendered whole; texts and names are not escaped, so one that
+    holds the marks of a turn reads as one, and should be cleaned before.
+
+    `ranges` is the number of ranges, by default Spark's own. Turns that agree
+    in conversation, number, speaker and the first PREFIX characters meet in one
+    task; equal ones are interchangeable.
     """
     # a key that is never null, so that joins and windows share one partitioning
     key = F.when(F.col("conv_id").isNull(), F.lit("-")).otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string")))
@@ -46,7 +56,10 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         F.col("turn").cast("long").alias("turn"),
         F.when(F.coalesce("role", F.lit("")) == "", F.lit(NOBODY)).otherwise(F.col("role")).alias("speaker"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / block), F.lit(2**62)))
+    )
+    order = ["conv", F.col("turn").asc_nulls_last(), "speaker", F.left("text", F.lit(PREFIX))]
+    # staged with its range's number, so that every reader sees the same ranges
+    t = stage((t.repartitionByRange(ranges, *order) if ranges else t.repartitionByRange(*order)).withColumn("part", F.spark_partition_id()), "turns")
     # views meet the parts of their conversation first: its turns never meet in one task
     views = t.where(~F.col("speaker").isin(*NARRATORS)).select("conv", F.col("speaker").alias("perspective")).distinct()
     seen = t.join(t.select("conv", "part").distinct().join(views, "conv"), ["conv", "part"])
@@ -76,7 +89,7 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def assemble(segments: DataFrame, block: int = BLOCK) -> DataFrame:
+def assemble(segments: DataFrame, block: int = 64) -> DataFrame:
     """Renderings of `rotate`'s segments in pieces of `block` turns.
 
     (conv_id, perspective, piece, start, text, masks): masks are the trained

@@ -3,10 +3,11 @@
 Every input partition packs its own pieces best-fit, longest first. Nearly full
 sequences are final there; the others become items (sequence, fill) of the next
 round, in which an eighth as many partitions pack them again, and so on up the
-tree until one partition has met all. Where that is too much for one, the
-sequences are counted by their fills, and the counts are packed: all have met
-without being in one place. Only those small items move between machines: the pieces stay where they are until one
-join at the end tells each its final sequence and shift.
+tree. At its root, where all that are left meet, they are counted by their
+fills and the counts are packed: all have met without being in one place,
+however many they are. Only those small items move between machines: the pieces
+stay where they are until one join at the end tells each its final sequence and
+shift.
 """
 
 from __future__ import annotations
@@ -298,32 +299,31 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int =
     """Pieces of `docs` (doc_id, text) and their places in sequences.
 
     A document's ids, then END_ID; only a longer one is cut, into pieces of
-    `capacity`. Result: doc_id, piece, start, length, ids_crc32, sequence_id,
-    offset. A null or empty text is END_ID alone. Repeated rows are each
-    packed; a null doc_id stays null; an empty table gives no row.
+    `capacity`, whatever its length. Result: doc_id, piece, start, length,
+    ids_crc32, sequence_id, offset. A null or empty text is END_ID alone.
+    Repeated rows are each packed; a null doc_id stays null; an empty table
+    gives no row. Pieces of one length fill the sequences in the order of
+    doc_id, piece and checksum within a task.
     """
     tune(docs.sparkSession)
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = stage(ready.mapInArrow(_pack_pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long, fill long"), "pieces")
     # one row for each underfull sequence: the piece at its start
     waiting = pieces.where((F.col("place") == 0) & (F.col("fill") < capacity - slack)).select("bin", "fill")
-    left, parts = waiting.count(), pieces.rdd.getNumPartitions()
+    parts = pieces.rdd.getNumPartitions()
     moves = None  # bin -> into, shift: only of underfull sequences
     level = 0
-    all_met = by_counts = False
-    while left > 1 and not all_met:
+    while True:
         level += 1
-        parts = max(1, -(-parts // FAN_IN), -(-left // BUFFER))
-        all_met = by_counts or parts == 1
-        if by_counts:
+        parts = -(-parts // FAN_IN)
+        if parts == 1:  # the root of the tree, where all that are left meet, however many
             merged = _pack_counts(waiting, capacity)
             if merged is None:
                 break
-            merged = stage(merged, f"merge-{level}")
         else:
-            merged = stage(waiting.repartition(parts).mapInArrow(_pack_bins(capacity), "bin long, into long, shift long, into_fill long"), f"merge-{level}")
+            merged = waiting.repartition(parts).mapInArrow(_pack_bins(capacity), "bin long, into long, shift long, into_fill long")
         # a sequence number of this level: negative, so it can't equal one of the first
-        merged = merged.withColumn("into", -(F.col("into") * 64 + level))
+        merged = stage(merged, f"merge-{level}").withColumn("into", -(F.col("into") * 64 + level))
         if moves is None:
             moves = merged.select("bin", "into", "shift")
         else:
@@ -332,13 +332,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, slack: int =
                 moves.join(now, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")),
                 f"moves-{level}",
             )
-        if all_met:
+        if parts == 1:
             break
         waiting = merged.where((F.col("shift") == 0) & (F.col("into_fill") < capacity - slack)).select(F.col("into").alias("bin"), F.col("into_fill").alias("fill"))
-        made = merged.where("shift = 0").count()
-        # what is too much for one task and hardly merges in several
-        by_counts = made > 0.99 * left and left > BUFFER
-        left = waiting.count()
     base = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "bin", "place")
     if moves is None:
         return base.withColumnsRenamed({"bin": "sequence_id", "place": "offset"})

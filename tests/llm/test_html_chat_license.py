@@ -90,7 +90,7 @@ CHAT += [(4, k, ["ann", "bob", "cy"][k % 3], f"turn {k} " * (k % 5)) for k in ra
 
 
 def test_rotation(spark):
-    segments = chat.rotate(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string"), block=16)
+    segments = chat.rotate(spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string"), ranges=7)
     got = {}
     for r in segments.orderBy("conv_id", "perspective", "seq").collect():
         text, masks = got.setdefault((r["conv_id"], r["perspective"]), ["", []])
@@ -107,6 +107,25 @@ def test_rotation(spark):
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_turns_without_numbers_are_spread(spark):
+    rows = [(5, None if k % 2 else 7, ["ann", "bob"][k % 3 % 2], f"{k * 7919 % 1000:04d} said") for k in range(1000)] + [(6, 1, "ann", "x")] * 3
+    segments = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), ranges=8)
+    views = {}
+    for r in segments.orderBy("conv_id", "perspective", "seq").collect():
+        text = views.setdefault((r["conv_id"], r["perspective"]), [""])
+        assert r["start"] == len(text[0])
+        text[0] += r["segment"]
+    assert {k: v[0] for k, v in views.items()} == {k: t for k, (t, _) in plain_views(rows).items()}
+    staged = spark.read.parquet(segments.inputFiles()[0].rsplit("/", 1)[0])
+    assert staged.where("conv_id = 5 AND turn IS NULL").select("part").distinct().count() > 2
+
+
+def test_chat_columns_may_clash(spark):
+    rows = [(1, 1, "ann", "hi", 3, "c", "p", 9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int, conv string, perspective string, start long")
+    assert [(r["perspective"], r["start"]) for r in chat.rotate(turns).collect()] == [("ann", 0)]
+
+
 def test_native_plans(spark):
     turns = spark.createDataFrame([(1, 1, "a", "x")], "conv_id long, turn long, role string, text string")
     for df in (chat.rotate(turns), chat.assemble(chat.rotate(turns)), licenses.scan(documents(spark, ODD))):
