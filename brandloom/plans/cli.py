@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +50,9 @@ def block(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def score(spark: SparkSession, a: argparse.Namespace) -> None:
-    scored = ranking.score_pairs(tables.read_strings(spark, a.csv, ("root_a", "root_b")))
+    scored, seen = ranking.observed(ranking.score_pairs(tables.read_strings(spark, a.csv, ("root_a", "root_b"))))
     tables.write_csv(scored, f"{a.outdir}/scored_pairs", places=4)
-    show(ranking.scan_stats(tables.read_csv(spark, f"{a.outdir}/scored_pairs", tables.SCORED)))
+    print(f"{seen.get['pairs']} pairs scored")
 
 
 def rank(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -71,9 +70,8 @@ def cover(spark: SparkSession, a: argparse.Namespace) -> None:
         found = found.orderBy("product_count", ascending=False).limit(a.limit)
     lookup = tables.read_lookup(spark, a.lookup) if a.lookup else spark.createDataFrame([], tables.LOOKUP)
     if a.service:
-        base, after = a.service, f"{a.outdir}/lookup-{int(time.time())}"
-        tables.write_lookup(terminology.refresh_lookup(found, lookup, lambda: terminology.HttpProvider(base)), after)
-        lookup = tables.read_lookup(spark, after)
+        base = a.service
+        lookup = terminology.refresh_store(found, f"{a.outdir}/lookup", lambda: terminology.HttpProvider(base), batch=a.batch, lookup=lookup, progress=print)
     mapping = coverage.atc_mapping(found, coverage.deduplicated(lookup.drop("status")))
     tables.write_csv(mapping, f"{a.outdir}/molecules_atc")
     tables.write_csv(coverage.unmapped(mapping), f"{a.outdir}/molecules_no_atc")
@@ -121,6 +119,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--lookup", default="")
     s.add_argument("--service", default="", help="base address of the terminology service")
     s.add_argument("--limit", type=int, default=0)
+    s.add_argument("--batch", type=int, default=25, help="molecules looked up before the answers are saved")
     stage("short-roots", short, outdir=False)
     return p
 

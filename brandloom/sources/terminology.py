@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from brandloom.functions.text import ordered_unique
@@ -20,6 +20,9 @@ from brandloom.operators.coverage import not_yet_looked_up
 from brandloom.session import ship
 from brandloom.sources.tables import LOOKUP
 
+NAMES = [f.split()[0] for f in LOOKUP.split(", ")]
+ANSWERS = f"{LOOKUP}, attempt long"
+
 EXACT = "struct<idGroup:struct<rxnormId:array<string>>>"
 APPROXIMATE = "struct<approximateGroup:struct<candidate:array<struct<rxcui:string,score:string>>>>"
 CLASSES = "struct<rxclassDrugInfoList:struct<rxclassDrugInfo:array<struct<rxclassMinConceptItem:struct<classId:string,className:string>>>>>"
@@ -97,7 +100,12 @@ def lookup_of(responses: DataFrame) -> DataFrame:
 
 
 def fetch(molecules: DataFrame, provider: Callable[[], Provider], tasks: int = 1) -> DataFrame:
-    """Raw responses of distinct molecules; `tasks` at once share the service's rate."""
+    """Raw responses of distinct molecules.
+
+    `tasks` at once share the service's rate. By default it is one task that
+    asks for one molecule after another: the service's limit on requests, not
+    the number of executors, sets the pace.
+    """
     import json
 
     def first(text: str | None, *path: str) -> str | None:
@@ -134,10 +142,57 @@ def refresh_lookup(inventory: DataFrame, lookup: DataFrame, provider: Callable[[
     """lookup plus rows for molecules that it hasn't got or that failed before.
 
     With `limit`, only the molecules with most products are looked up. Misses
-    are kept and not asked again; failures are asked again next time.
+    are kept and not asked again; failures are asked again next time. Every new
+    molecule is asked for once each time the result is computed, so write it
+    before using it twice; `refresh_store` does that, a batch at a time.
     """
     wanted = inventory.orderBy(F.desc("product_count"), "molecule").limit(limit) if limit else inventory
-    new = lookup_of(fetch(not_yet_looked_up(wanted, lookup), provider, tasks))
-    names = [f.split()[0] for f in LOOKUP.split(", ")]
+    missing = not_yet_looked_up(wanted, lookup).select("molecule")
+    new = lookup_of(fetch(missing, provider, tasks))
     held = lookup if "status" in lookup.columns else lookup.withColumn("status", F.lit("found"))
-    return held.select(*names).join(new.select("molecule"), "molecule", "left_anti").select(*names).unionByName(new.select(*names))
+    return held.select(*NAMES).join(missing, "molecule", "left_anti").select(*NAMES).unionByName(new.select(*NAMES))
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """The latest answer for each molecule in a store; none where there is no store yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/answers")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], ANSWERS)
+    latest = spark.read.schema(ANSWERS).json(str(path)).groupBy("molecule").agg(F.max_by(F.struct(*NAMES[1:], "attempt"), "attempt").alias("r"))
+    return latest.select("molecule", "r.*")
+
+
+def refresh_store(inventory: DataFrame, store: str, provider: Callable[[], Provider], limit: int = 0, tasks: int = 1, batch: int = 25, lookup: DataFrame | None = None, progress: Callable[[dict], None] | None = None) -> DataFrame:
+    """Look up what a store hasn't got, about `batch` molecules at a time; the lookup with all answers.
+
+    Each batch is saved under `store` before the next is asked for, so a run
+    that ends early, for whatever reason, goes on where it stopped and asks for
+    nothing again that was answered. Answers of `lookup` count as known.
+    Misses are answers; failures are asked again by the next run. `progress`
+    gets the counts of each batch as it is written.
+    """
+    spark = inventory.sparkSession
+    known = read_store(spark, store)
+    attempt = 1 + (known.agg(F.max("attempt").alias("n")).first()["n"] or 0)
+    held = known.select(*NAMES)
+    if lookup is not None:
+        given = lookup if "status" in lookup.columns else lookup.withColumn("status", F.lit("found"))
+        held = held.unionByName(given.select(*NAMES).join(held.select("molecule"), "molecule", "left_anti").select(*NAMES))
+    wanted = inventory.orderBy(F.desc("product_count"), "molecule").limit(limit) if limit else inventory
+    pending = f"{store}/pending-{attempt}"
+    not_yet_looked_up(wanted, held).where("molecule IS NOT NULL").select("molecule").distinct().write.mode("overwrite").parquet(pending)
+    new = spark.read.schema("molecule string").parquet(pending)
+    total = new.count()
+    batches = -(-total // batch)
+    done = 0
+    for k in range(batches):  # one after another, as the service's rate wants it
+        part = new.where(F.pmod(F.xxhash64("molecule"), F.lit(batches)) == k)
+        seen = Observation(f"lookup-{attempt}-{k}")
+        rows = lookup_of(fetch(part, provider, tasks)).select(*NAMES, F.lit(attempt).cast("long").alias("attempt"))
+        counts = (F.count(F.lit(1)).alias("asked"), F.count_if(F.size("atc_codes") > 0).alias("with_atc"), F.count_if(F.col("status") == "failed").alias("failed"))
+        rows.observe(seen, *counts).write.mode("append").json(f"{store}/answers")
+        done += seen.get["asked"]
+        if progress:
+            progress({"done": done, "of": total, **seen.get})
+    latest = read_store(spark, store).select(*NAMES)
+    return latest if lookup is None else latest.unionByName(held.join(latest.select("molecule"), "molecule", "left_anti").select(*NAMES))

@@ -120,6 +120,59 @@ def test_refresh_lookup(spark):
     assert {r["molecule"] for r in terminology.refresh_lookup(inv, old, Table, limit=2).collect()} == {"zinc", "aspirin"}
 
 
+class Counting:
+    """Answers from literals, writes every question down, and breaks after some."""
+
+    def __init__(self, log, breaks_after=None):
+        self.log, self.breaks_after = log, breaks_after
+
+    def exact(self, name):
+        with open(self.log, "a") as f:
+            f.write(name + "\n")
+        if self.breaks_after is not None and sum(1 for _ in open(self.log)) > self.breaks_after:
+            raise RuntimeError("the machine went away")
+        if name == "m7":
+            raise terminology.LookupFailed(name)
+        return json.dumps({"idGroup": {"rxnormId": ["1"]}})
+
+    def approximate(self, name):
+        raise AssertionError
+
+    def classes(self, rxcui):
+        return json.dumps({})
+
+
+def test_every_molecule_is_asked_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    inv = spark.createDataFrame([(f"m{k}", k) for k in range(5)], "molecule string, product_count long")
+    old = spark.createDataFrame([], tables.LOOKUP)
+    assert len(terminology.refresh_lookup(inv, old, lambda: Counting(log)).collect()) == 5
+    assert sorted(open(log).read().split()) == [f"m{k}" for k in range(5)]
+
+
+def test_a_broken_run_resumes(spark, tmp_path):
+    log, store = str(tmp_path / "log"), str(tmp_path / "store")
+    inv = spark.createDataFrame([(f"m{k}", k) for k in range(40)], "molecule string, product_count long")
+    known = spark.createDataFrame([("m3", "9", "exact", ["A"], ["a"], "found")], tables.LOOKUP)
+    with pytest.raises(Exception, match="went away"):
+        terminology.refresh_store(inv, store, lambda: Counting(log, 25), batch=4, lookup=known)
+    before = terminology.read_store(spark, store)
+    saved = {r["molecule"] for r in before.collect()}
+    assert 10 <= len(saved) <= 25
+    first = open(log).read().split()
+    open(log, "w").close()
+    seen = []
+    got = {r["molecule"]: r for r in terminology.refresh_store(inv, store, lambda: Counting(log), batch=4, lookup=known, progress=seen.append).collect()}
+    again = open(log).read().split()
+    # nothing that was saved is asked for again, but for what failed; nothing is asked for twice
+    assert len(again) == len(set(again)) and not set(again) & (saved - {"m7"}) and "m3" not in [*first, *again]
+    assert got.keys() == {f"m{k}" for k in range(40)} and got["m3"]["rxcui"] == "9" and got["m7"]["status"] == "failed"
+    assert seen[-1]["done"] == seen[-1]["of"] == len(again) and sum(x["failed"] for x in seen) == 1
+    open(log, "w").close()
+    terminology.refresh_store(inv, store, lambda: Counting(log), batch=4, lookup=known)
+    assert open(log).read().split() == ["m7"]
+
+
 class Session:
     def __init__(self, *codes):
         self.codes, self.seen = list(codes), []
