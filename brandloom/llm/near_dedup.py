@@ -288,18 +288,20 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5, block: int = BLOCK
         F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * ROWS + 1, F.lit(ROWS)), i))).alias("place", "band"),
     )
     hubs = stage(bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("k")).where("hub <> last").select("band", "hub", "k"), "hubs")
-    pointers = stage(bands.join(hubs, "band").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pointers")
+    shared = stage(bands.join(hubs, "band").select("band", "place", "hub", "k", "id"), "shared")
+    pointers = stage(shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pointers")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     candidates = stage(pointers.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_likely(percent), "a long, b long, likely double"), "candidates")
 
-    members = _members(docs, candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")), size)
+    repeated = stage(drawn.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    members = _members(docs, candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")), repeated, size)
     best = stage(candidates.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b")), "best")
     found = stage(components(_confirm(best, members, percent)), "first")
     apart = candidates.join(_component(found, "a", "c_a"), "a", "left").join(_component(found, "b", "c_b"), "b", "left").where(_at("c_a", "a") != _at("c_b", "b")).select("a", "b")
     found = _joined(found, _confirm(apart.join(best, ["a", "b"], "left_anti"), members, percent), "second")
 
     # buckets of three or more documents in two or more components
-    held = bands.join(hubs.where("k > 2"), "band").join(_component(found, "id", "c"), "id", "left").select("band", "place", "hub", "id", _at("c", "id").alias("component"))
+    held = shared.where("k > 2").join(_component(found, "id", "c"), "id", "left").select("band", "place", "hub", "id", _at("c", "id").alias("component"))
     held = stage(held, "held")
     parts = held.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
     open_ = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", -F.col("component"))).alias("most"), F.sum("k").alias("k")).where("parts > 1")
@@ -309,7 +311,7 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5, block: int = BLOCK
     fields = [x.split()[0] for x in _ROW.split(", ")]
     promising = stage(ordered(dealt.select(*fields)).mapInArrow(_promising(percent), _ROW), "promising")
     if not promising.isEmpty():
-        members = _members(docs, promising.select(F.col("id").alias("doc_id")), size)
+        members = _members(docs, promising.select(F.col("id").alias("doc_id")), repeated, size)
         searched = ordered(promising.join(members, "id").select(*fields, "members"))
         found = _joined(found, stage(searched.mapInArrow(_search_blocks(percent), "a long, b long").distinct(), "links"), "third")
 
@@ -323,11 +325,17 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5, block: int = BLOCK
     )
 
 
-def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, members): the full sets of the wanted documents, one for each id."""
+def _members(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+    """(id, members): the full sets of the wanted documents, one for each id.
+
+    Only ids that stand in several rows are brought together for that.
+    """
     ids = stage(wanted.distinct(), "wanted")
-    made = docs.join(ids.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(size), "id long, members binary")
-    return stage(made.dropDuplicates(["id"]), "sets")
+    made = lambda df: df.join(ids.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(size), "id long, members binary")
+    if repeated.isEmpty():
+        return stage(made(docs), "sets")
+    again = made(docs.join(repeated.hint("shuffle_hash"), "doc_id", "left_semi")).dropDuplicates(["id"])
+    return stage(made(docs.join(repeated.hint("shuffle_hash"), "doc_id", "left_anti")).union(again), "sets")
 
 
 def _confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
