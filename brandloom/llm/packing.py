@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,22 +59,31 @@ class Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set(itertools.chain.from_iterable(split)).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = set(itertools.chain.from_iterable(split))
-        self._learn(new)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-    def _learn(self, new: set[bytes]) -> None:
+        self.memo: dict[bytes, bytes] = {b"": b""}
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.memo.get, distinct))
+        new = [w for w, x in zip(distinct, ids, strict=True) if x is None]
+        if new:
+            if len(self.memo) + len(new) > MEMO:
+                self.memo = {b"": b""}
+                new = distinct
+            self._learn(new)
+            ids = list(map(self.memo.__getitem__, distinct))
+        found = pa.array(ids, pa.binary())
+        data, offsets = raw(found.take(words.indices))
+        whole, ends = data.tobytes(), offsets[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [whole[a:b] for a, b in itertools.pairwise(ends)]
+
+    def _learn(self, new: list[bytes]) -> None:
         memo, made, need = self.memo, [], set()
         add = need.add
         for w in new:
+            if not w:
+                continue
             # special tokens are told from text by case and by "<|"
             if w.isascii() and b"<|" not in w:
                 plain = w.lower()
@@ -199,12 +209,10 @@ def _pack_pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, parts, held, counter = ids_of(path), [], 0, 0
         for batch in batches:
-            for part, texts in slices(batch, "text", 1 << 20):
-                data, offsets = raw(texts)
-                whole, at = data.tobytes(), offsets.tolist()
+            for part, texts in slices(batch, "text", 4 << 20):
                 end = np.array([END_ID], "<u4").tobytes()
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encode([whole[a:b] for a, b in itertools.pairwise(at)])):
+                for i, ids in enumerate(encode(texts)):
                     ids += end
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[s : s + 4 * capacity]

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -171,7 +172,7 @@ def test_ids_of_odd_words():
     r = random.Random(5)
     texts = ["it's IT'S don't!! <|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b İstanbul H̱a 12ab34 a\x1cb x's. ''' ...a.b.. Σας 😀!!"]
     texts += ["".join(r.choices("aB'sSt.,!<|>1é İΣ́\t\n日", k=50)) for _ in range(200)]
-    for t, found in zip(texts, ids([t.encode() for t in texts]), strict=True):
+    for t, found in zip(texts, ids(pa.array([*texts, "", " x "]).slice(0, len(texts))), strict=True):
         assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
