@@ -46,10 +46,13 @@ def read_strings(spark: SparkSession, path: str, columns: tuple[str, ...]) -> Da
 
 
 def write_csv(df: DataFrame, path: str, places: int | None = None, single: bool = False) -> None:
-    """Write with a header, even without rows; doubles to `places` decimals, halves to even."""
+    """Write with a header, even without rows; doubles to `places` decimals, halves to even.
+
+    Outer white space of a text is kept, as everything else in it.
+    """
     doubles = {f.name for f in df.schema if f.dataType.typeName() == "double"} if places is not None else set()
     out = df.select(*(F.bround(c, places).cast(f"decimal(38,{places})").alias(c) if c in doubles else F.col(c) for c in df.columns))
-    (out.coalesce(1) if single or out.isEmpty() else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (out.coalesce(1) if single or out.isEmpty() else out).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_if_any(df: DataFrame, path: str) -> bool:

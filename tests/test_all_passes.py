@@ -1,5 +1,6 @@
 """Queries by all seven passes against brute force, since SQL has no metaphone, dmeta or nysiis."""
 
+import re
 from itertools import combinations
 
 import pytest
@@ -20,10 +21,11 @@ def world(spark):
     blocks = {}
     for r in catalog.queries()["block_keys_native"](spark, DATA).collect():
         blocks.setdefault((r["pass"], r["key"]), []).append(r["id"])
-    for i, root in roots.items():  # words of letters from a to z
+    for i, root in roots.items():  # some have a digit, which no key goes by
+        letters = re.sub("[^a-z]", "", root)
         for name, code in CODES.items():
-            if len(root) >= 2 and code(root):
-                blocks.setdefault((name, code(root)), []).append(i)
+            if len(letters) >= 2 and code(letters):
+                blocks.setdefault((name, code(letters)), []).append(i)
     pairs = {tuple(sorted(p)) for ids in blocks.values() for p in combinations(ids, 2)}
     return roots, blocks, pairs
 
@@ -63,10 +65,11 @@ def test_block_sizes(spark, world):
 
 def test_ranks(spark, world):
     scored = run(spark, "score_pairs_all7")
-    for name, top, jw, edit in (("rank_top50_all7", 50, 0.4, 0.6), ("rank_no_digits_all7", 20, 0.3, 0.7)):
-        best = sorted(scored, key=lambda r: (-(jw * r["jw"] + edit * r["edit_sim"]), r["root_a"], r["root_b"]))[:top]
+    plain = [r for r in scored if not re.search("[0-9]", r["root_a"] + r["root_b"])]
+    for name, rows, top, jw, edit in (("rank_top50_all7", scored, 50, 0.4, 0.6), ("rank_no_digits_all7", plain, 20, 0.3, 0.7)):
+        best = sorted(rows, key=lambda r: (-(jw * r["jw"] + edit * r["edit_sim"]), r["root_a"], r["root_b"]))[:top]
         assert [(r["root_a"], r["root_b"]) for r in run(spark, name)] == [(r["root_a"], r["root_b"]) for r in best]
-    assert tuple(run(spark, "scan_stats_all7")[0]) == (len(named(world)),) * 2
+    assert tuple(run(spark, "scan_stats_all7")[0]) == (len(named(world)), len(plain)) and 0 < len(plain) < len(scored)
 
 
 def test_probes(spark, world):

@@ -2,11 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from brandloom.plans import catalog, oracle
+from brandloom.plans import adapters, catalog, oracle
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("part", "supplier", "benchmark")
+TABLES = ("part", "supplier", "benchmark", "documents")
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +50,24 @@ def test_one_shuffle_serves_both_sides_of_the_pair_join(spark):
         assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_tables_bite(spark):
+    """Every normalising step changes something in the tables that the queries read."""
+    names = adapters.products(spark, DATA)
+    rx = lambda column, pattern: names.where(F.col(column).rlike(pattern)).count()
+    assert rx("name", r"5mg/\d+mg/30mg") and rx("name", r"\d mg") and rx("name", r"-\d+ Forte")
+    parsed = catalog.queries()["molecule_inventory"](spark, DATA)
+    found = {r["molecule"] for r in parsed.collect()}
+    assert {"paracetamol", "furosemide", "amoxicillin", "calcium carbonate", "ferrous sulphate"} <= found
+    roots = adapters.roots(spark, DATA)
+    assert roots.where(F.col("brand_root").rlike("[0-9]")).count()
+    stats = catalog.queries()["scan_stats"](spark, DATA).first()
+    assert stats["eligible"] < stats["scanned"]
+    assert catalog.queries()["block_stats_maxblock"](spark, DATA).first()["skipped_blocks"] > 0
+    assert adapters.products(spark, DATA).where("manufacturer_name IS NOT NULL").count()
+    assert catalog.queries()["wide_block_stats"](spark, DATA).first()["n_roots"] > 10_000
+
+
+def test_products_join_spreads(spark):
+    assert adapters.products(spark, "/root/testdata/sf0.1").select(F.expr("row_id % 1009")).distinct().count() == 1009
