@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from brandloom.session import ship
 #: Rows in one Arrow batch that a Python operator sees; with MAX_BYTES it
 #: bounds a Python worker's memory whatever the partition's size.
 MAX_ROWS = 1000
-MAX_BYTES = 8 << 20
+MAX_BYTES = 4 << 20
 
 _scratch: dict[str, str] = {}
 
@@ -67,13 +68,37 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read again; what came of them has to be staged by then."""
+    for df in staged:
+        _remove(df.sparkSession, df.staged_at)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_kept: dict[object, object] = {}
+
+
+def keep(key: object, make: Callable[[], object]) -> object:
+    """What `make` gives, built once in each Python worker, which keeps one such thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Let go of it: a worker serves the tasks of one operator after another's."""
+    _kept.clear()
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one string array in which null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brandloom.llm.common import stage
+from brandloom.llm.common import discard, stage
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours point to its least neighbour or itself.
+def _large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every node's larger neighbours point to its least neighbour or itself; and the staged minima.
 
     The minima are staged: both sides of the join then come from plain shuffles,
     so Spark can split the partition of a node with very many neighbours.
     """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), least
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -41,4 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         if figures == before or not figures["n"]:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
         before = figures
-        now = stage(_small(_large(now)), "stars")
+        large, least = _large(now)
+        new = stage(_small(large), "stars")
+        discard(least, now)
+        now = new

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from brandloom.llm.common import new_path, raw, slices, tune
+from brandloom.llm.common import keep, new_path, raw, slices, tune
 
 WINDOW = 10
 #: Of benchmark text in one automaton: about 100 bytes of nodes a byte.
@@ -38,7 +38,6 @@ PIECE = 1 << 14
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_built: dict[tuple, Matcher] = {}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -104,14 +103,14 @@ class Matcher:
 
 def matcher(folder: str, block: int, window: int) -> Matcher:
     """The automaton of a block of items; a Python worker holds the last one it needed."""
-    key = (folder, block, window)
-    if key not in _built:
-        _built.clear()
+
+    def make() -> Matcher:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         found = fs.get_file_info(pyarrow.fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
         tables = [pyarrow.parquet.read_table(x.path, filesystem=fs, columns=["item", "words"], partitioning=None) for x in sorted(found, key=lambda x: x.path) if x.path.endswith(".parquet")]
-        _built[key] = Matcher(sorted((i, w) for t in tables for i, w in zip(t.column("item").to_pylist(), t.column("words").to_pylist(), strict=True)), window)
-    return _built[key]
+        return Matcher(sorted((i, w) for t in tables for i, w in zip(t.column("item").to_pylist(), t.column("words").to_pylist(), strict=True)), window)
+
+    return keep(("items", folder, block, window), make)
 
 
 def write_items(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> tuple[str, int]:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brandloom.llm.common import raw, slices, tune
+from brandloom.llm.common import raw, release, slices, tune
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -110,6 +110,7 @@ def lettered(texts: pa.Array) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         for part, texts in slices(batch, "text"):
@@ -204,6 +205,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part, texts in slices(batch, "text", 2 << 20):
                 names, score, unsure = decode(known.value, texts)
@@ -229,6 +231,7 @@ def keep_identified(docs: DataFrame, max_train_rows: int = 20_000) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part, texts in slices(batch, "text", 2 << 20):
                 names, _, unsure = decode(known.value, texts)

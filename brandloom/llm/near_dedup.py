@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brandloom.llm.common import raw, slices, stage, tune
+from brandloom.llm.common import discard, raw, release, slices, stage, tune
 from brandloom.llm.components import components
 from brandloom.llm.setsketch import BANDS, REGISTERS, ROWS, likely_jaccard, shingles, sketches
 
@@ -38,8 +38,12 @@ from brandloom.llm.setsketch import BANDS, REGISTERS, ROWS, likely_jaccard, shin
 #: with a chance under one in 10 ** 8, far less often than by sharing no band.
 DOUBT = 0.15
 BLOCK = 256
+#: Blocks of a bucket's largest component are so many times as large.
+WIDER = 4
+#: Rows of pairs of blocks in one task.
+TASK_ROWS = 1 << 13
 #: Columns of a membership matrix at a time.
-WIDTH = 8192
+WIDTH = 4096
 
 
 def digests(row: np.ndarray, hashes: np.ndarray, rows: int) -> list[bytes]:
@@ -50,6 +54,7 @@ def digests(row: np.ndarray, hashes: np.ndarray, rows: int) -> list[bytes]:
 
 def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part, texts in slices(batch, "text", 1 << 20):
                 row, hashes = shingles(*raw(texts), size)
@@ -65,6 +70,7 @@ def _sketched(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part, texts in slices(batch, "text", 1 << 20):
                 row, hashes = shingles(*raw(texts), size)
@@ -235,15 +241,19 @@ def _search_blocks(percent: int):
     return run
 
 
+def _block_counts(block: int) -> tuple[Column, Column]:
+    return F.ceil(F.col("k_rest") / block), F.ceil(F.col("k_large") / (WIDER * block))
+
+
 def _deal(rows: DataFrame, block: int) -> DataFrame:
     """Rows of buckets (band, id, large, k_large, k_rest) to pairs of blocks (i, j), side 0 or 1.
 
     A small bucket is one block. Of others, the rest is dealt out in blocks,
-    numbered from 0, and the largest component in blocks behind them. Every
-    block of the rest meets every other and every block of that component, but
-    the component's blocks don't meet each other.
+    numbered from 0, and the largest component in WIDER times as large blocks
+    behind them. Every block of the rest meets every other and every block of
+    that component, but the component's blocks don't meet each other.
     """
-    rest, large = F.ceil(F.col("k_rest") / block).cast("int"), F.ceil(F.col("k_large") / block).cast("int")
+    rest, large = (x.cast("int") for x in _block_counts(block))
     small = F.col("k_rest") + F.col("k_large") <= block
     mine = F.when(F.col("large"), rest + F.pmod(F.xxhash64("id"), large).cast("int")).otherwise(F.pmod(F.xxhash64("id"), rest).cast("int"))
     others = F.when(F.col("large"), F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(F.lit(0), rest + large - 1))
@@ -278,10 +288,13 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5, block: int = BLOCK
     # Aggregates that a join follows are staged, so that both sides of the join come
     # from plain shuffles and Spark can split the partition of a key with many rows.
     same = drawn.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1 AND first IS NOT NULL").select("digest", "first")
-    copies = drawn.join(stage(same, "copies"), "digest", "left")
+    same = stage(same, "copies")
+    copies = drawn.join(same, "digest", "left")
+    repeated = stage(drawn.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     # every row and the least document with the very same set, which alone keeps the sketch
     rep = F.when(F.col("n") > 0, F.coalesce("first", "doc_id"))
     rows = stage(copies.select("doc_id", "n", rep.alias("rep"), "sketch").withColumn("sketch", F.expr("IF(doc_id = rep, sketch, NULL)")), "rows")
+    discard(drawn, same)
     sets = rows.where("doc_id = rep AND n > 0").select(F.col("rep").alias("id"), "n", "sketch")
     bands = sets.select(
         "id",
@@ -289,31 +302,42 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5, block: int = BLOCK
     )
     hubs = stage(bands.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("k")).where("hub <> last").select("band", "hub", "k"), "hubs")
     shared = stage(bands.join(hubs, "band").select("band", "place", "hub", "k", "id"), "shared")
+    discard(hubs)
     pointers = stage(shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pointers")
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     candidates = stage(pointers.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_likely(percent), "a long, b long, likely double"), "candidates")
+    discard(pointers)
 
-    repeated = stage(drawn.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     members = _members(docs, candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")), repeated, size)
     best = stage(candidates.groupBy("a").agg(F.max_by("b", F.struct("likely", -F.col("b"))).alias("b")), "best")
     found = stage(components(_confirm(best, members, percent)), "first")
     apart = candidates.join(_component(found, "a", "c_a"), "a", "left").join(_component(found, "b", "c_b"), "b", "left").where(_at("c_a", "a") != _at("c_b", "b")).select("a", "b")
     found = _joined(found, _confirm(apart.join(best, ["a", "b"], "left_anti"), members, percent), "second")
+    discard(best, candidates, members)
 
     # buckets of three or more documents in two or more components
     held = shared.where("k > 2").join(_component(found, "id", "c"), "id", "left").select("band", "place", "hub", "id", _at("c", "id").alias("component"))
     held = stage(held, "held")
+    discard(shared)
     parts = held.groupBy("band", "component").agg(F.count(F.lit(1)).alias("k"))
     open_ = parts.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", -F.col("component"))).alias("most"), F.sum("k").alias("k")).where("parts > 1")
     open_ = stage(open_.select("band", (-F.col("most.col2")).alias("main"), F.col("most.k").alias("k_large"), (F.col("k") - F.col("most.k")).alias("k_rest")), "open")
+    rest, large = _block_counts(block)
+    copies_of = F.when(F.col("k") <= block, F.col("k")).otherwise(F.col("k_rest") * (rest + large) + F.col("k_large") * rest)
+    n_dealt = open_.withColumn("k", F.col("k_rest") + F.col("k_large")).agg(F.sum(copies_of).alias("n")).first()["n"] or 0
     dealt = _deal(held.join(open_, "band").withColumn("large", F.col("component") == F.col("main")), block).join(sets, "id")
-    ordered = lambda df: df.repartition(*_KEY).sortWithinPartitions(*_KEY, "side", "id")
+    # the work goes by rows, not by their bytes, so Spark isn't to choose the number of tasks
+    ordered = lambda df, n: df.repartition(1 + int(n) // TASK_ROWS, *_KEY).sortWithinPartitions(*_KEY, "side", "id")
     fields = [x.split()[0] for x in _ROW.split(", ")]
-    promising = stage(ordered(dealt.select(*fields)).mapInArrow(_promising(percent), _ROW), "promising")
-    if not promising.isEmpty():
+    promising = stage(ordered(dealt.select(*fields), n_dealt).mapInArrow(_promising(percent), _ROW), "promising")
+    discard(held, open_)
+    n_promising = promising.count()
+    if n_promising:
         members = _members(docs, promising.select(F.col("id").alias("doc_id")), repeated, size)
-        searched = ordered(promising.join(members, "id").select(*fields, "members"))
+        searched = ordered(promising.join(members, "id").select(*fields, "members"), n_promising)
         found = _joined(found, stage(searched.mapInArrow(_search_blocks(percent), "a long, b long").distinct(), "links"), "third")
+        discard(members)
+    discard(promising, repeated)
 
     out = rows.join(found, rows["rep"] == found["id"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
@@ -333,9 +357,13 @@ def _members(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, size: int)
     ids = stage(wanted.distinct(), "wanted")
     made = lambda df: df.join(ids.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(size), "id long, members binary")
     if repeated.isEmpty():
-        return stage(made(docs), "sets")
-    again = made(docs.join(repeated.hint("shuffle_hash"), "doc_id", "left_semi")).dropDuplicates(["id"])
-    return stage(made(docs.join(repeated.hint("shuffle_hash"), "doc_id", "left_anti")).union(again), "sets")
+        out = made(docs)
+    else:
+        again = made(docs.join(repeated.hint("shuffle_hash"), "doc_id", "left_semi")).dropDuplicates(["id"])
+        out = made(docs.join(repeated.hint("shuffle_hash"), "doc_id", "left_anti")).union(again)
+    out = stage(out, "sets")
+    discard(ids)
+    return out
 
 
 def _confirm(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -348,7 +376,9 @@ def _joined(found: DataFrame, links: DataFrame, label: str) -> DataFrame:
     """Components with further links."""
     if links.isEmpty():
         return found
-    return stage(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b"))), label)
+    out = stage(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b"))), label)
+    discard(found, links)
+    return out
 
 
 def keep_first(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:

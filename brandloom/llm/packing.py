@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brandloom.llm.common import raw, slices, stage, tune
+from brandloom.llm.common import keep, raw, slices, stage, tune
 
 CAPACITY = 4096
 END_ID = 1
@@ -35,7 +35,7 @@ FAN_IN = 8
 #: A sequence with this few free places is final.
 SLACK = 1
 #: Words whose ids a Python worker remembers: about 250 bytes each.
-MEMO = 800_000
+MEMO = 500_000
 #: Plain words that are tokenised as one text.
 _TOGETHER = 256
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -78,6 +78,12 @@ class Ids:
         whole, ends = data.tobytes(), offsets[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         return [whole[a:b] for a, b in itertools.pairwise(ends)]
 
+    def _encoded(self, texts: list[str], most: int) -> Iterator[np.ndarray]:
+        """Ids of each text, `most` texts at a time, since what the tokenizer returns is large."""
+        for k in range(0, len(texts), most):
+            for x in self.tokenizer.encode_batch_fast(texts[k : k + most], add_special_tokens=False):
+                yield np.array(x.ids, "<u4")
+
     def _learn(self, new: list[bytes]) -> None:
         memo, made, need = self.memo, [], set()
         add = need.add
@@ -101,30 +107,19 @@ class Ids:
         for w in need:
             (words if w.isalpha() or not w.isascii() and w.decode().isalpha() else others).append(w)
         parts = [words[k : k + _TOGETHER] for k in range(0, len(words), _TOGETHER)]
-        found = self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in parts], add_special_tokens=False)
-        for part, x in zip(parts, found, strict=True):
-            ids = np.array(x.ids, "<u4")
+        for part, ids in zip(parts, self._encoded([b" ".join(x).decode() for x in parts], 32), strict=True):
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):  # a letter's lower case may be more than a letter
                 others.extend(part)
                 continue
             flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
             memo.update(zip(part, [flat[a:b] for a, b in itertools.pairwise(cuts)], strict=True))
-        for w, x in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
-            memo[w] = np.array(x.ids, "<u4").tobytes()
+        for w, ids in zip(others, self._encoded([w.decode() for w in others], 4096), strict=True):
+            memo[w] = ids.tobytes()
         for w, base, tail in made:
             memo[w] = memo[base] + memo[tail] if tail else memo[base]
 
 
-_ids: dict[str, Ids] = {}
-
-
-def ids_of(path: str) -> Ids:
-    if path not in _ids:
-        _ids[path] = Ids(path)
-    return _ids[path]
-
-
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best-fit in the given order: bin and offset of each item, fill of each bin.
 
@@ -207,9 +202,9 @@ def _pack_pieces(path: str, capacity: int):
         return pa.RecordBatch.from_arrays(arrays, schema=_PIECES), counter + len(fill)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, parts, held, counter = ids_of(path), [], 0, 0
+        encode, parts, held, counter = keep(("ids", path), lambda: Ids(path)), [], 0, 0
         for batch in batches:
-            for part, texts in slices(batch, "text", 4 << 20):
+            for part, texts in slices(batch, "text", 2 << 20):
                 end = np.array([END_ID], "<u4").tobytes()
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(encode(texts)):

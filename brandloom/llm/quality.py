@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandloom.llm.common import raw, slices, tune
+from brandloom.llm.common import raw, release, slices, tune
 from brandloom.llm.wordhash import SPACE, mix, words
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
@@ -228,6 +228,7 @@ def score(model: Scorer, texts: pa.Array, f: dict[str, np.ndarray]) -> np.ndarra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     total: dict[bytes, int] = {}
     for batch in batches:
         for _, texts in slices(batch, "text", 2 << 20):
@@ -294,6 +295,7 @@ def rate(docs: DataFrame, weak: Weak, scorer: Scorer, threshold: float = 0.4) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         posterior, model = known.value
+        release()
         for batch in batches:
             for part, texts in slices(batch, "text", 2 << 20):
                 f = features(texts)
@@ -313,6 +315,7 @@ def keep_good(docs: DataFrame, max_train_rows: int = 8_000, threshold: float = 0
     known = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part, texts in slices(batch, "text", 2 << 20):
                 yield part.filter(pa.array(score(known.value, texts, features(texts)) >= threshold))
