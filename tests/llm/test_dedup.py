@@ -123,3 +123,50 @@ def test_components(spark, seed):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: label[x] for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_large_group_of_near_copies_costs_a_few_rows_each(spark, monkeypatch):
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(1500):
+        mine = list(base)
+        mine[r.randrange(80)] = f"x{i}"
+        rows.append(row(1000 + i, " ".join(mine)))
+    counts, stage = {}, near_dedup.stage
+
+    def counting(df, label):
+        out = stage(df, label)
+        counts[label] = counts.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", counting)
+    got = as_dict(near_dedup.groups(documents(spark, rows), size=2, block=16))
+    assert {x[1] for x in got.values()} == {1000}
+    assert counts["pointers"] <= 41 * 1500 and counts["promising"] == 0
+    # one that is apart from all others is held against them once, not they against each other
+    rows += [row(5000, " ".join(base[:58] + [f"y{k}" for k in range(22)]))]
+    counts.clear()
+    label, _ = plain_groups([rows[0], rows[-1]], 2)
+    got = as_dict(near_dedup.groups(documents(spark, rows), size=2, block=16))
+    assert len(got) == 1501 and got[1000][1] == 1000 and counts["promising"] <= 3 * 1501
+
+
+def test_dealing_meets_every_pair_once(spark):
+    rows = [(1, 0, 7, i, 5 if i < 100 else i, i < 100, 100, 30) for i in range(130)]
+    table = spark.createDataFrame(rows, "band long, place int, hub long, id long, component long, large boolean, k_large long, k_rest long")
+    for block in (4, 16, 200):
+        met = {}
+        dealt = near_dedup._deal(table, block).collect()
+        blocks = {}
+        for x in dealt:
+            blocks.setdefault((x["i"], x["j"]), []).append((x["id"], x["component"], x["side"]))
+        for own in blocks.values():
+            two = any(s for *_, s in own)
+            for a, (x, c, s) in enumerate(own):
+                for y, d, t in own[a + 1 :]:
+                    if c != d and (s != t or not two):
+                        key = (min(x, y), max(x, y))
+                        met[key] = met.get(key, 0) + 1
+        assert met == {(x, y): 1 for x in range(130) for y in range(x + 1, 130) if y >= 100}
+        assert len(dealt) <= 30 * (30 // block + 1 + 100 // (4 * block) + 1) + 100 * (30 // block + 1)

@@ -47,14 +47,17 @@ def test_a_wrong_bit_is_corrected(names):
         assert language_id.decode(model._replace(weights=weights), pa.array(texts))[0] == names
 
 
+def plain_grams(text):
+    b = [c if 97 <= c <= 122 or c > 127 else 32 for c in (" " + text.lower() + " ").encode()]
+    out = [((b[i] << 8 | b[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 17 for i in range(len(b) - 1) if (b[i], b[i + 1]) != (32, 32)]
+    return out + [(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x85EBCA6B + 0x27D4EB2F) & 0xFFFFFFFF) >> 17 for i in range(len(b) - 2) if (b[i], b[i + 1]) != (32, 32) and (b[i + 1], b[i + 2]) != (32, 32)]
+
+
 def plain_decode(model, text):
-    """Language and score, letter by letter and bit by bit."""
-    padded = (" " + text.lower() + " ").encode()
-    b = [c if 97 <= c <= 122 or c > 127 else 32 for c in padded]
-    grams = [((b[i] << 8 | b[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 17 for i in range(len(b) - 1) if (b[i], b[i + 1]) != (32, 32)]
-    grams += [(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x85EBCA6B + 0x27D4EB2F) & 0xFFFFFFFF) >> 17 for i in range(len(b) - 2) if (b[i], b[i + 1]) != (32, 32) and (b[i + 1], b[i + 2]) != (32, 32)]
-    if not any(c.isalpha() for c in text):
-        return "und", 0.0
+    """Language, score and the second best score, letter by letter and bit by bit."""
+    grams = plain_grams(text or "")
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, 0.0
     losses = []
     for i in range(len(model.languages)):
         loss = 0.0
@@ -64,7 +67,23 @@ def plain_decode(model, text):
             loss += model.reliability[bit] * math.log1p(math.exp(-margin * model.code[i, bit]))
         losses.append(loss)
     likely = [math.exp(-4 * (x - min(losses))) for x in losses]
-    return model.languages[losses.index(min(losses))], max(likely) / sum(likely)
+    first, second = sorted((x / sum(likely) for x in likely), reverse=True)[:2]
+    return model.languages[losses.index(min(losses))], first, second
+
+
+def test_fit_against_plain_counts(spark):
+    rows = corpus(80)
+    model = language_id.fit(documents(spark, rows))
+    counts = np.zeros((4, language_id.BUCKETS))
+    for _, text, lang, *_ in rows:
+        for g in plain_grams(text):
+            counts[sorted(WORDS).index(lang), g] += 1
+    wanted = language_id.model_of(sorted(WORDS), counts, 0.1, 0.5)
+    assert model.languages == wanted.languages and np.allclose(model.weights, wanted.weights) and np.allclose(model.reliability, wanted.reliability)
+    share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
+    for bit in range(model.code.shape[1]):
+        one, zero = share[model.code[:, bit] > 0].mean(0), share[model.code[:, bit] < 0].mean(0)
+        assert np.allclose(model.weights[:, bit], np.log(one / zero), atol=1e-5)
 
 
 def test_against_a_plain_decoder():
@@ -74,7 +93,7 @@ def test_against_a_plain_decoder():
         texts = [prose(r, lang, r.randint(1, 30)) for lang in WORDS for _ in range(10)] + ["a", "é", "", "12", "Ab c", "日本", "ok?", "x " * 3000]
         found, score, _ = language_id.decode(model, pa.array(texts))
         for t, f, s in zip(texts, found, score, strict=True):
-            name, wanted = plain_decode(model, t)
+            name, wanted, _ = plain_decode(model, t)
             assert f == name and abs(s - wanted) < 2e-4, t
 
 

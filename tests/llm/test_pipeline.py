@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from brandloom.llm import decontaminate, queries
+from brandloom.llm import decontaminate, language_id, queries
 from tests.llm.helpers import ODD, documents, prose, row
 from tests.llm.test_dedup import plain_groups
 from tests.llm.test_decontaminate_pack import check_packed, plain_scan
+from tests.llm.test_language_quality import plain_decode, plain_scores
 
 DATA = "/root/testdata/sf0.001"
 
@@ -49,8 +50,13 @@ def test_stages(spark, tmp_path):
         was = before.collect()
         if name == "language_id":
             assert ids.isdisjoint({1, 2, 3, 4}) and ids >= {x[0] for x in good}
+            model = language_id.fit(before.where(~language_id.held_out()))
+            decoded = [(x["doc_id"], *plain_decode(model, x["text"])) for x in was]
+            assert ids == {i for i, name_, first, second in decoded if name_ != "und" and first - second >= model.margin}
         elif name == "quality":
             assert ids.isdisjoint({x[0] for x in shout}) and ids >= {x[0] for x in good}
+            _, _, score = plain_scores([x["text"] or "" for x in was])
+            assert all(abs(s - 0.4) < 0.002 or (x["doc_id"] in ids) == (s >= 0.4) for x, s in zip(was, score, strict=True))
         elif name == "near_dedup":
             label, _ = plain_groups([tuple(x) for x in was], 5)
             assert ids - {None} == {i for i in label if label[i] == i} and docs.where("doc_id = 7").count() == 1
