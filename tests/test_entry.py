@@ -1,6 +1,5 @@
 """The driver's entry with and without the corpus operators."""
 
-import os
 import shutil
 import subprocess
 import sys
@@ -22,7 +21,7 @@ def test_entry_without_the_corpus_operators(tmp_path, gone):
         path = tmp_path / "r" / name
         shutil.rmtree(path) if path.is_dir() else path.unlink(missing_ok=True)
     shutil.rmtree(tmp_path / "r" / "tests" / "llm", ignore_errors=True)
-    done = subprocess.run([sys.executable, "-c", PROBE], cwd=tmp_path / "r", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
+    done = subprocess.run([sys.executable, "-c", PROBE], cwd=tmp_path / "r", capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert "molecule_inventory" in done.stdout and "op1_" not in done.stdout and "pipeline" not in done.stdout
     done = subprocess.run([sys.executable, "-c", "import bench"], cwd=tmp_path / "r", capture_output=True, text=True)
