@@ -58,8 +58,9 @@ ARTICLE = frozenset("article content post entry story main body text".split())
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Words of what lies over a page: only the article's own tag inside tells it for a wrapper.
 OVERLAYS = frozenset("cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login".split())
-#: A wrapper has to hold this many times as much prose as the page has elsewhere.
-WRAPS = 2
+#: A wrapper has to hold this many times as much prose as the page has elsewhere, and
+#: this many times as much as what is named as the article elsewhere.
+WRAPS, OUTWEIGHS = 2, 10
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*+")
 _ATTRIBUTE = re.compile(r"""[\s/]*+([^\s>/][^\s>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]*+)))?""")
@@ -311,7 +312,7 @@ def parse(source: str) -> Page:
             article = _is_article(tag, attributes)
             container = here
             if not left_out:
-                hint = article or any(_words_of(x) & ARTICLE for x in [*attributes.get("class", "").split(), attributes.get("id", "")])
+                hint = article or any(_words_of(x) & ARTICLE and not _words_of(x) & ASIDE for x in [*attributes.get("class", "").split(), attributes.get("id", "")])
                 step = _step(tag, attributes)
                 weak = words or (frozenset([tag]) if tag == "form" else None)
                 containers.append(Container(here, _extend(containers[here].path, step), step, article and tag not in ("html", "body"), hint and tag not in ("html", "body"), weak or None))
@@ -327,7 +328,8 @@ def _settle(containers: list[Container], blocks: list[Block]) -> list[bool]:
     The asides are taken largest first. One wraps the article if something in
     it, not itself an aside, is tagged or named as one, and if it holds WRAPS
     times as much prose as all that is in the page already; readers' comments
-    never do. The asides inside a wrapper are then judged in turn.
+    never do, and none does where prose stands under the article's own tag
+    elsewhere. The asides inside a wrapper are then judged in turn.
     """
     n = len(containers)
     if not any(c.weak for c in containers):
@@ -352,15 +354,29 @@ def _settle(containers: list[Container], blocks: list[Block]) -> list[bool]:
             whole[up] += whole[k]
             tagged[up] |= tagged[k]
             hinted[up] |= hinted[k]
+    own_parts: list[list[int]] = [[] for _ in range(n)]  # tagged or named containers by their enclosing aside
+    for k, c in enumerate(containers):
+        if (c.article or c.hint) and plain[k]:
+            own_parts[owner[k]].append(k)
+    named, there = 0, False  # prose under what is named as the article, and whether any is under its own tag
+
+    def admit(k: int) -> None:
+        nonlocal named, there
+        for x in own_parts[k]:
+            named = max(named, plain[x])
+            there |= containers[x].article and plain[x] >= 25
+
+    admit(0)
     kept, prose = {0}, plain[0]
     heap = [(-whole[k], k) for k in inside[0]]
     heapq.heapify(heap)
     while heap:
         _, k = heapq.heappop(heap)
         weak = containers[k].weak
-        if weak & READERS or whole[k] < WRAPS * prose or not (tagged[k] if weak & OVERLAYS else hinted[k]) or not whole[k]:
+        if there or weak & READERS or whole[k] < max(WRAPS * prose, OUTWEIGHS * named) or not (tagged[k] if weak & OVERLAYS else hinted[k]) or not whole[k]:
             continue
         kept.add(k)
+        admit(k)
         prose += plain[k]
         for x in inside[k]:
             heapq.heappush(heap, (-whole[x], x))

@@ -153,6 +153,10 @@ def text(source):
         "<article><p>%s</article><div class=comments><article class=comment><p>" + PROSE * 9 + "</article></div>",
         "<article><p>%s</article><div class='cookie-notice'><div class=text><p>" + PROSE * 9 + "</div></div>",
         "<article><p>%s</article><div class='sidebar'><div class=post><p>" + PROSE + "</div></div>",
+        "<article><p>%s</article><div class='sidebar'><article><p>" + PROSE * 40 + "</article></div>",
+        "<div class=x><p>%s</div><div class='sidebar-content'><p>" + PROSE * 40 + "</div>",
+        "<div class=content><p>%s</div><div class=widget><div class=text><p>" + PROSE * 20 + "</div></div>",
+        "<div class='content right-sidebar'><p>%s</div>",
     ],
 )
 def test_wrappers_are_judged_by_what_they_hold(source):
