@@ -15,11 +15,7 @@ LONG, STEP = 64, 32
 
 def _codes(names: list[str], width: int) -> np.ndarray:
     """names x width code points, 0 behind the end."""
-    out = np.zeros((len(names), width), np.uint32)
-    for i, s in enumerate(names):
-        if s:
-            out[i, : len(s)] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
-    return out
+    return np.array(names, f"<U{width}").view(np.uint32).reshape(len(names), width)
 
 
 def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
@@ -43,14 +39,19 @@ def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
     wa, wb = int(la.max(initial=0)), int(lb.max(initial=0))
     x, y = _codes(a, max(wa, 1)), _codes(b, max(wb, 1))
     reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
-    hit_a, hit_b = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+    hit_a, hit_b = np.zeros(x.shape[::-1], bool), np.zeros(y.shape[::-1], bool)
+    furthest = int(reach.max(initial=0))
+    # a character's column stands together in memory
+    xs, ys = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
     for i in range(wa):
         free = i < la
-        for j in range(wb):
-            ok = free & (np.abs(i - j) <= reach) & (j < lb) & ~hit_b[:, j] & (x[:, i] == y[:, j])
+        for j in range(max(0, i - furthest), min(wb, i + furthest + 1)):
+            ok = free & (xs[i] == ys[j]) & (abs(i - j) <= reach) & (j < lb) & ~hit_b[j]
             if ok.any():
-                hit_a[ok, i] = hit_b[ok, j] = True
+                hit_a[i] |= ok
+                hit_b[j] |= ok
                 free &= ~ok
+    hit_a, hit_b = hit_a.T, hit_b.T
     matches = hit_a.sum(1)
     in_a = np.take_along_axis(x, np.argsort(~hit_a, axis=1, kind="stable"), 1)
     in_b = np.take_along_axis(y, np.argsort(~hit_b, axis=1, kind="stable"), 1)
