@@ -37,11 +37,11 @@ from brandloom.llm.setsketch import BANDS, REGISTERS, ROWS, likely_jaccard, shin
 #: from REGISTERS registers has a standard deviation of 0.026, so a link is lost here
 #: with a chance under one in 10 ** 8, far less often than by sharing no band.
 DOUBT = 0.15
-BLOCK = 256
+BLOCK = 128
 #: Blocks of a bucket's largest component are so many times as large.
 WIDER = 4
-#: Rows of pairs of blocks in one task.
-TASK_ROWS = 1 << 13
+#: Rows of pairs of blocks in one task, of sketches and of full sets.
+TASK_ROWS, TASK_SETS = 1 << 13, 1 << 10
 #: Columns of a membership matrix at a time.
 WIDTH = 4096
 
@@ -327,14 +327,14 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5, block: int = BLOCK
     n_dealt = open_.withColumn("k", F.col("k_rest") + F.col("k_large")).agg(F.sum(copies_of).alias("n")).first()["n"] or 0
     dealt = _deal(held.join(open_, "band").withColumn("large", F.col("component") == F.col("main")), block).join(sets, "id")
     # the work goes by rows, not by their bytes, so Spark isn't to choose the number of tasks
-    ordered = lambda df, n: df.repartition(1 + int(n) // TASK_ROWS, *_KEY).sortWithinPartitions(*_KEY, "side", "id")
+    ordered = lambda df, n: df.repartition(1 + int(n), *_KEY).sortWithinPartitions(*_KEY, "side", "id")
     fields = [x.split()[0] for x in _ROW.split(", ")]
-    promising = stage(ordered(dealt.select(*fields), n_dealt).mapInArrow(_promising(percent), _ROW), "promising")
+    promising = stage(ordered(dealt.select(*fields), n_dealt // TASK_ROWS).mapInArrow(_promising(percent), _ROW), "promising")
     discard(held, open_)
     n_promising = promising.count()
     if n_promising:
         members = _members(docs, promising.select(F.col("id").alias("doc_id")), repeated, size)
-        searched = ordered(promising.join(members, "id").select(*fields, "members"), n_promising)
+        searched = ordered(promising.join(members, "id").select(*fields, "members"), n_promising // TASK_SETS)
         found = _joined(found, stage(searched.mapInArrow(_search_blocks(percent), "a long, b long").distinct(), "links"), "third")
         discard(members)
     discard(promising, repeated)
