@@ -35,7 +35,7 @@ FAN_IN = 8
 #: A sequence with this few free places is final.
 SLACK = 1
 #: Words whose ids a Python worker remembers: about 250 bytes each.
-MEMO = 500_000
+MEMO = 1_000_000
 #: Plain words that are tokenised as one text.
 _TOGETHER = 256
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -59,7 +59,9 @@ class Ids:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.four = [i.to_bytes(4, "little") for i in range(len(self.last))]
         self.memo: dict[bytes, bytes] = {b"": b""}
+        self.before: dict[bytes, bytes] = {}
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
         split = pc.ascii_split_whitespace(texts)
@@ -68,10 +70,12 @@ class Ids:
         ids = list(map(self.memo.get, distinct))
         new = [w for w, x in zip(distinct, ids, strict=True) if x is None]
         if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo = {b"": b""}
+            if len(self.memo) + len(new) > MEMO // 2:  # words that are used again come back from what was before
+                self.before, self.memo = self.memo, {b"": b""}
                 new = distinct
-            self._learn(new)
+            again = list(map(self.before.get, new))
+            self.memo.update((w, x) for w, x in zip(new, again, strict=True) if x is not None)
+            self._learn([w for w, x in zip(new, again, strict=True) if x is None])
             ids = list(map(self.memo.__getitem__, distinct))
         found = pa.array(ids, pa.binary())
         data, offsets = raw(found.take(words.indices))
@@ -104,8 +108,14 @@ class Ids:
                     continue
             add(w)
         words, others = [], []
+        model, four = self.tokenizer.model.tokenize, self.four
         for w in need:
-            (words if w.isalpha() or not w.isascii() and w.decode().isalpha() else others).append(w)
+            if w.isalpha() and w.islower():  # letters from a to z are one piece, and their own byte-level form
+                memo[w] = b"".join([four[x.id] for x in model(w.decode())])
+            elif w.isalpha() or not w.isascii() and w.decode().isalpha():
+                words.append(w)
+            else:
+                others.append(w)
         parts = [words[k : k + _TOGETHER] for k in range(0, len(words), _TOGETHER)]
         for part, ids in zip(parts, self._encoded([b" ".join(x).decode() for x in parts], 32), strict=True):
             ends = np.flatnonzero(self.last[ids]) + 1
