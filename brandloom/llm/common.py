@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -95,8 +96,12 @@ def keep(key: object, make: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Let go of it: a worker serves the tasks of one operator after another's."""
+    """Let go of it, and give free memory back: a worker serves the tasks of one operator after another's."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -237,6 +237,7 @@ def keep_identified(docs: DataFrame, max_train_rows: int = 20_000) -> DataFrame:
                 names, _, unsure = decode(known.value, texts)
                 fine = np.array([x != UNKNOWN for x in names], bool) & ~unsure
                 yield part.filter(pa.array(fine, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema) if model.languages else docs
 

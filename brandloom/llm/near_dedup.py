@@ -64,6 +64,7 @@ def _sketched(size: int):
                     [part.column("doc_id"), pa.array(n), pa.array(digests(row, hashes, len(texts)), pa.binary()), pa.array([x.tobytes() for x in stored], pa.binary())],
                     ["doc_id", "n", "digest", "sketch"],
                 )
+        release()
 
     return run
 
@@ -77,6 +78,7 @@ def _sets(size: int):
                 ends = np.cumsum(np.bincount(row, minlength=len(texts)))
                 members = [hashes[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]).tolist() if len(ends) else [], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(members, pa.binary())], ["id", "members"])
+        release()
 
     return run
 

@@ -319,5 +319,6 @@ def keep_good(docs: DataFrame, max_train_rows: int = 8_000, threshold: float = 0
         for batch in batches:
             for part, texts in slices(batch, "text", 2 << 20):
                 yield part.filter(pa.array(score(known.value, texts, features(texts)) >= threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema) if weak.posterior else docs
